@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, simhash, token_counts
 
-QUERIES = {"op2_benchmark_decontamination": decontaminate.op2}
+QUERIES = {
+    "op1_simhash_near_dedup": simhash.op1,
+    "op2_benchmark_decontamination": decontaminate.op2,
+    "op10_token_counts": token_counts.op10,
+}
 SQL = {"op2_benchmark_decontamination": decontaminate.OP2_SQL}
