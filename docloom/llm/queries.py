@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash, token_counts
+from . import decontaminate, packing, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
+    "op7_toxicity": toxicity.op7,
+    "op9_packing": packing.op9,
     "op10_token_counts": token_counts.op10,
 }
 SQL = {"op2_benchmark_decontamination": decontaminate.OP2_SQL}
