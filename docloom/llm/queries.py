@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, simhash, token_counts, toxicity
+from . import cover_tree, decontaminate, packing, pii, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
+    "op4_embedding_near_dedup": cover_tree.op4,
     "op7_toxicity": toxicity.op7,
+    "op8_pii": pii.op8,
     "op9_packing": packing.op9,
     "op10_token_counts": token_counts.op10,
 }
-SQL = {"op2_benchmark_decontamination": decontaminate.OP2_SQL}
+SQL = {
+    "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op4_embedding_near_dedup": cover_tree.OP4_SQL,
+}
