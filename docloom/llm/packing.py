@@ -189,6 +189,7 @@ def patterns(histogram: np.ndarray, size: np.ndarray, capacity: int, rounds: int
                     c -= 1
             new.append(col)
         pool = np.unique(np.concatenate([pool, np.array(new).T], axis=1), axis=1)
+        good = basis.copy()
         for _ in range(40 * m):
             dual = inverse.sum(0)
             gain = dual @ pool - 1
@@ -196,11 +197,11 @@ def patterns(histogram: np.ndarray, size: np.ndarray, capacity: int, rounds: int
             if gain[j] <= tolerance / 2:
                 break
             direction = inverse @ pool[:, j]
-            up = direction > 1e-9
+            up = direction > 1e-7
             if not up.any():
                 break
             ratio = np.where(up, x / np.where(up, direction, 1), np.inf)
-            r = int(ratio.argmin())
+            r = int(np.where(ratio <= ratio.min() + 1e-9, direction, -1).argmax())  # of ties the safest pivot
             x = x - ratio[r] * direction
             x[r] = ratio[r]
             x = np.maximum(x, 0)
@@ -208,6 +209,10 @@ def patterns(histogram: np.ndarray, size: np.ndarray, capacity: int, rounds: int
             inverse = inverse - np.outer(direction, row)
             inverse[r] = row
             basis[:, r] = pool[:, j]
+        if np.linalg.cond(basis) > 1e10:  # rounding spoilt the basis: the last round's patterns stay
+            basis = good
+            x = np.maximum(np.linalg.solve(basis, demand), 0)
+            break
         inverse = np.linalg.inv(basis)
         x = np.maximum(inverse @ demand, 0)
     left = histogram.astype(np.int64).copy()
