@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .chunks import ChunkCache
 from .common import _BYTE_CODES, hash_chunks, read, slices, utf8_column
 
-SAMPLE = 2000
+SAMPLE = 1200
 ORDER = 9
 SHARED = 2
 DISCOUNT = 0.75
@@ -59,22 +59,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def _grams(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of the k bytes up to each position, position in its word, word of each position.
-
-    A word is its bytes between a begin mark (position 0) and an end mark.
-    """
+def _positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte codes, position in the word, and word of each byte; a word stands between a begin and an end mark."""
     flat = np.frombuffer(b"".join([b"\x01" + w + b"\x02" for w in words]), np.uint8)
     n = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    word = np.repeat(np.arange(len(words)), n)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    codes = _BYTE_CODES[_LOWER[flat]]
-    out = [np.zeros(len(flat), np.uint64)]
-    for _ in range(ORDER):
-        h = codes.copy()
-        h[1:] += out[-1][:-1] * _STEP
-        out.append(h)
-    return out, at, word
+    word = np.repeat(np.arange(len(words), dtype=np.int32), n)
+    at = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    return _BYTE_CODES[_LOWER[flat]], at, word
+
+
+def _longer(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of one more byte up to each position, of the hashes h."""
+    out = codes.copy()
+    out[1:] += h[:-1] * _STEP
+    return out
 
 
 class Table:
@@ -105,51 +103,50 @@ class KneserNey:
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
         """counts[c, w]: documents of class c that hold word w."""
-        hashes, at, word = _grams(words)
-        levels = [[self._level(hashes, at, np.flatnonzero(counts[c][word] > 0), counts[c][word], k) for c in (0, 1)] for k in range(1, ORDER + 1)]
-        pooled = [self._level(hashes, at, np.arange(len(at)), counts.sum(0)[word], k) for k in range(1, SHARED + 1)]
-        self.shared = [Table(*x) for x in pooled]
-        self.tables = [[Table(*levels[k][c]) for k in range(SHARED, ORDER)] for c in (0, 1)]
+        codes, at, word = _positions(words)
+        self.shared, self.tables = [], [[], []]
+        before, now = np.zeros(len(codes), np.uint64), codes  # of k - 1 and k bytes
+        for k in range(1, ORDER + 1):
+            after = _longer(now, codes) if k < ORDER else None
+            if k <= SHARED:
+                self.shared.append(self._table(before, now, after, at, counts.sum(0)[word], k))
+            else:
+                for c in (0, 1):
+                    self.tables[c].append(self._table(before, now, after, at, counts[c][word], k))
+            before, now = now, after
 
     @staticmethod
-    def _level(hashes, at, where, weight, k):
+    def _table(before, now, after, at, weight, k) -> Table:
         """n-grams of length k with Kneser-Ney counts: raw for the longest and at word begins, else kinds of left neighbours."""
-        where = where[at[where] >= k]  # a left neighbour (or begin mark) stands before
-        opening = np.flatnonzero(at == k - 1)
-        opening = opening[weight[opening] > 0]
-        opening = opening[at[opening] > 0]  # the begin mark itself is never predicted
-        if k < ORDER:
-            _, first = np.unique(hashes[k + 1][where], return_index=True)
-            inner, inner_count = where[first], np.ones(len(first))
+        inner = np.flatnonzero((at >= k) & (weight > 0))  # a left neighbour (or begin mark) stands before
+        if after is not None:
+            inner = inner[np.unique(after[inner], return_index=True)[1]]
+            inner_count = np.ones(len(inner))
         else:
-            inner, inner_count = where, weight[where]
+            inner_count = weight[inner]
+        opening = np.flatnonzero((at == k - 1) & (weight > 0) & (at > 0))  # the begin mark itself is never predicted
         p = np.concatenate([inner, opening])
-        return hashes[k][p], hashes[k - 1][p - 1], np.concatenate([inner_count, weight[opening]])
+        return Table(now[p], before[p - 1], np.concatenate([inner_count, weight[opening]]))
 
     def difference(self, words: list[bytes]) -> np.ndarray:
         """Toxic less ordinary log-likelihood of each word."""
-        if not words:
-            return np.empty(0)
-        hashes, at, word = _grams(words)
-        inside = np.flatnonzero(at > 0)
-        p = np.full(len(inside), 1 / 256)
+        return np.concatenate([np.empty(0), *[self._difference(words[i : i + 20000]) for i in range(0, len(words), 20000)]])
 
-        def up(table, p, k):
+    def _difference(self, words: list[bytes]) -> np.ndarray:
+        codes, at, word = _positions(words)
+        inside = np.flatnonzero(at > 0)
+        p = [np.full(len(inside), 1 / 256)]
+        before, now = np.zeros(len(codes), np.uint64), codes
+        for k in range(1, ORDER + 1):
             fits = at[inside] >= k - 1
             q = inside[fits]
-            p = p.copy()
-            p[fits] = table.interpolate(p[fits], hashes[k][q], hashes[k - 1][q - 1])
-            return p
-
-        for k in range(1, SHARED + 1):
-            p = up(self.shared[k - 1], p, k)
-        both = []
-        for c in (0, 1):
-            pc = p
-            for k in range(SHARED + 1, ORDER + 1):
-                pc = up(self.tables[c][k - SHARED - 1], pc, k)
-            both.append(np.log(pc))
-        return np.bincount(word[inside], both[1] - both[0], len(words))
+            if k == SHARED + 1:
+                p = [p[0], p[0].copy()]
+            for c, pc in enumerate(p):
+                table = self.shared[k - 1] if k <= SHARED else self.tables[c][k - SHARED - 1]
+                pc[fits] = table.interpolate(pc[fits], now[q], before[q - 1])
+            before, now = now, _longer(now, codes)
+        return np.bincount(word[inside], np.log(p[1]) - np.log(p[0]), len(words))
 
 
 def features(diff: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -236,10 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     y = got["toxic"].to_numpy().astype(int)
     if len(set(y.tolist())) < 2:
         return Model(None, np.zeros(4), float(y.mean()) if len(y) else 0.0)
-    texts = [w.split() for w in got["words"]]
     vocabulary: dict[bytes, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], np.int64) for t in texts]
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.split()], np.int32) for t in got["words"]]
     words = list(vocabulary)
+    del got, vocabulary
 
     def fit(pick: np.ndarray) -> KneserNey:
         counts = np.zeros((2, len(words)))
