@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.text import let
+
 # The entity classes' formats.
 DURATION = r"(?i)\b(\d+(?:\.\d+)?)\s*(business\s+days?|days?|months?|years?|weeks?|hours?|minutes?|seconds?|secs?)\b"
 CURRENCY = r"(?i)(?:([$€£¥₹])\s*(\d+(?:,\d{3})*(?:\.\d+)?)|(?:USD|EUR|GBP|INR|dollars?|cents?)\s*(\d+(?:,\d{3})*(?:\.\d+)?)|(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:USD|EUR|GBP|INR|dollars?|cents?))\b"
@@ -49,44 +51,44 @@ def normalize_currency(raw: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """CMP-06: map of type to array of (raw, norm) in order of occurrence; absent types have no key."""
-    pair = lambda raw, norm: F.struct(raw.alias("raw"), norm.alias("norm"))
-    each = lambda found, norm: F.transform(found, lambda r: pair(r, norm(r)))
-    dur, cur, pct, ver, std = (_all(text, p) for p in (DURATION, CURRENCY, PERCENT, VERSION, STANDARD))
     bare = lambda r: F.replace(r, F.lit(","), F.lit(""))
-    taken = F.transform(F.flatten(F.transform(F.concat(dur, cur, pct, ver), lambda r: _all(r, NUMBER))), bare)
-    numbers = F.filter(_all(text, NUMBER), lambda r: ~F.array_contains(taken, bare(r)))
-    by = {
-        "clause_reference": each(_all(text, CLAUSE), lambda r: F.regexp_replace(F.lower(r), r"\s+", "_")),
-        "currency": each(cur, normalize_currency),
-        "date": each(F.concat(_all(text, DATE_ISO), _all(text, DATE_OTHER)), lambda r: r),
-        "duration": each(dur, normalize_duration),
-        "iso": each(F.filter(std, lambda r: ~F.upper(r).contains("RFC")), F.upper),
-        "number": each(numbers, bare),
-        "percentage": each(pct, lambda r: F.concat(F.regexp_extract(r, PERCENT, 1), F.lit("%"))),
-        "rfc": each(F.filter(std, lambda r: F.upper(r).contains("RFC")), F.upper),
-        "version": each(ver, lambda r: F.concat(F.lit("v"), F.regexp_extract(r, VERSION, 1))),
-    }
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in by.items()])
-    return F.map_from_entries(F.filter(entries, lambda e: F.size(e["value"]) > 0))
+    each = lambda found, norm: F.transform(found, lambda r: F.struct(r.alias("raw"), norm(r).alias("norm")))
+
+    def build(f: Column) -> Column:
+        taken = F.transform(F.flatten(F.transform(F.concat(f["dur"], f["cur"], f["pct"], f["ver"]), lambda r: _all(r, NUMBER))), bare)
+        numbers = let(taken, lambda t: F.filter(f["num"], lambda r: ~F.array_contains(t, bare(r))))
+        by = {
+            "clause_reference": each(f["ref"], lambda r: F.regexp_replace(F.lower(r), r"\s+", "_")),
+            "currency": each(f["cur"], normalize_currency),
+            "date": each(f["day"], lambda r: r),
+            "duration": each(f["dur"], normalize_duration),
+            "iso": each(F.filter(f["std"], lambda r: ~F.upper(r).contains("RFC")), F.upper),
+            "number": each(numbers, bare),
+            "percentage": each(f["pct"], lambda r: F.concat(F.regexp_extract(r, PERCENT, 1), F.lit("%"))),
+            "rfc": each(F.filter(f["std"], lambda r: F.upper(r).contains("RFC")), F.upper),
+            "version": each(f["ver"], lambda r: F.concat(F.lit("v"), F.regexp_extract(r, VERSION, 1))),
+        }
+        entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in by.items()])
+        return F.map_from_entries(F.filter(entries, lambda e: F.size(e["value"]) > 0))
+
+    days = F.concat(_all(text, DATE_ISO), _all(text, DATE_OTHER))
+    found = {"dur": DURATION, "cur": CURRENCY, "pct": PERCENT, "ver": VERSION, "std": STANDARD, "ref": CLAUSE, "num": NUMBER}
+    return let(F.struct(*[_all(text, p).alias(n) for n, p in found.items()], days.alias("day")), build)
 
 
 def entity_diffs(a: Column, b: Column) -> Column:
     """CMP-08, JON-09: array of (type, pos, raw_a, raw_b, norm_a, norm_b, divergent), paired by position."""
+    none = F.expr("cast(array() as array<struct<raw:string,norm:string>>)")
 
-    def of(kind: Column) -> Column:
-        none = F.expr("cast(array() as array<struct<raw:string,norm:string>>)")
-        x, y = F.coalesce(F.try_element_at(a, kind), none), F.coalesce(F.try_element_at(b, kind), none)
-        n = F.greatest(F.size(x), F.size(y))
-
-        def at(i: Column) -> Column:
-            p, q = F.get(x, i), F.get(y, i)
-            divergent = F.coalesce(p["norm"] != q["norm"], F.lit(False))
-            return F.struct(kind.alias("type"), i.alias("pos"), p["raw"].alias("raw_a"), q["raw"].alias("raw_b"), p["norm"].alias("norm_a"), q["norm"].alias("norm_b"), divergent.alias("divergent"))
+    def at(kind: Column, i: Column, p: Column, q: Column) -> Column:
+        divergent = F.coalesce(p["norm"] != q["norm"], F.lit(False))
+        return F.struct(kind.alias("type"), i.alias("pos"), p["raw"].alias("raw_a"), q["raw"].alias("raw_b"), p["norm"].alias("norm_a"), q["norm"].alias("norm_b"), divergent.alias("divergent"))
 
-        return F.transform(F.sequence(F.lit(0), n - 1), at)
+    def of(m: Column, kind: str) -> Column:
+        both = F.arrays_zip(F.coalesce(F.try_element_at(m["a"], F.lit(kind)), none).alias("p"), F.coalesce(F.try_element_at(m["b"], F.lit(kind)), none).alias("q"))
+        return F.transform(both, lambda z, i: at(F.lit(kind), i, z["p"], z["q"]))
 
-    kinds = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
-    return F.flatten(F.transform(kinds, of))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda m: F.concat(*[of(m, kind) for kind in TYPES]))
 
 
 def _has(text: Column, terms) -> Column:

@@ -37,6 +37,11 @@ UI_SENSITIVE = ("password", "secret", "token", "authorization", "cookie", "key",
 REDACTED = "[REDACTED]"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once a row, however often it is used (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def empty_strings() -> Column:
     return F.expr("cast(array() as array<string>)")
 

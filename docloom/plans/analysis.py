@@ -1,2 +1,356 @@
+"""Comparison, grounding, structure and audit queries over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docloom.functions import entities as E
+from docloom.functions import text as T
+from docloom.operators import audit as A
+from docloom.operators import chunking, compare, evidence, structure
+from docloom.operators import retrieval as R
+from docloom.plans.search import chunks, items
+from docloom.sources.tables import table
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Policy clauses are made from line items: version b shifts quantities and turns duties.
+DUTY = "CASE (l_linenumber + l_orderkey + {k}) % 4 WHEN 0 THEN 'must ' WHEN 1 THEN 'may ' WHEN 2 THEN 'is prohibited and ' ELSE 'is optional and ' END"
+CLAUSE = "'The buyer ' || {duty} || 'settle ' || CAST(CAST(l_quantity AS BIGINT) + {k} * (l_linenumber % 2) AS VARCHAR) || ' days after delivery for $' || CAST(CAST(round(l_extendedprice) AS BIGINT) AS VARCHAR) || ' less ' || CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || '% per Section ' || CAST(l_linenumber AS VARCHAR) || ' of lot ' || CAST(l_partkey AS VARCHAR) || '.'"
+# Line numbers repeat within an order; the first row of each stands for the clause.
+FIRST = "row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) = 1"
+LINES = f"li AS (SELECT l_orderkey, l_linenumber, {CLAUSE.format(k=0, duty=DUTY.format(k=0))} AS a, {CLAUSE.format(k=1, duty=DUTY.format(k=1))} AS b FROM lineitem QUALIFY {FIRST})"
+
+
+def clauses(spark, sf) -> DataFrame:
+    line = table(spark, sf, "lineitem").withColumn("first", F.expr(FIRST)).where("first")
+    text = lambda k: F.expr(CLAUSE.format(k=k, duty=DUTY.format(k=k)).replace("AS VARCHAR", "AS STRING"))
+    return line.select("l_orderkey", "l_linenumber", text(0).alias("a"), text(1).alias("b"))
+
+
+_D, _C, _P, _S, _N = r"(?i)\b(\d+)\s*(days?)\b", r"\$(\d+)", r"(\d+)%", r"(?i)Section\s+\d+", r"\b\d+\b"
+ENTITY = f"""e AS (SELECT l_orderkey, l_linenumber, side, type, raw, norm FROM (SELECT l_orderkey, l_linenumber, side, t, regexp_extract_all(t, '{_D}')[1] AS dur, regexp_extract_all(t, '{_C}')[1] AS cur, regexp_extract_all(t, '{_P}')[1] AS pct, regexp_extract_all(t, '{_S}')[1] AS ref FROM sides) x, LATERAL (
+ SELECT 'duration' AS type, dur AS raw, CASE WHEN regexp_extract(dur, '\\d+') = '1' THEN '1 day' ELSE regexp_extract(dur, '\\d+') || ' days' END AS norm UNION ALL SELECT 'currency', cur, 'USD ' || regexp_extract(cur, '\\d+') UNION ALL SELECT 'percentage', pct, pct UNION ALL SELECT 'clause_reference', ref, replace(lower(ref), ' ', '_')))"""
+NUMBERS = f"n AS (SELECT l_orderkey, l_linenumber, side, list_filter(regexp_extract_all(t, '{_N}'), lambda r: NOT list_contains([regexp_extract(t, '{_D}', 1), regexp_extract(t, '{_C}', 1), regexp_extract(t, '{_P}', 1)], r)) AS l FROM sides)"
+SIDES = "sides AS (SELECT l_orderkey, l_linenumber, 'a' AS side, a AS t FROM li UNION ALL SELECT l_orderkey, l_linenumber, 'b', b FROM li)"
+ALL = f"WITH {LINES}, {SIDES}, {ENTITY}, {NUMBERS}, al AS (SELECT l_orderkey, l_linenumber, side, type, 0 AS pos, raw, norm FROM e UNION ALL SELECT l_orderkey, l_linenumber, side, 'number', unnest(range(len(l))), unnest(l), unnest(l) FROM n)"
+
+
+@query(f"{ALL} SELECT l_orderkey, l_linenumber, type, CAST(pos AS INTEGER) AS pos, raw, norm FROM al WHERE side = 'a'")
+def entity_extract(spark, sf):
+    """CMP-06/07."""
+    rows = clauses(spark, sf).select("l_orderkey", "l_linenumber", F.explode(E.entities(F.col("a"))).alias("type", "found"))
+    return rows.select("l_orderkey", "l_linenumber", "type", F.posexplode("found").alias("pos", "e")).select("l_orderkey", "l_linenumber", "type", "pos", "e.raw", "e.norm")
+
+
+@query(f"{ALL} SELECT l_orderkey, l_linenumber, type, CAST(pos AS INTEGER) AS pos, a.norm AS norm_a, b.norm AS norm_b, coalesce(a.norm <> b.norm, FALSE) AS divergent FROM (SELECT * FROM al WHERE side = 'a') a FULL JOIN (SELECT * FROM al WHERE side = 'b') b USING (l_orderkey, l_linenumber, type, pos)")
+def entity_diff_positional(spark, sf):
+    """CMP-08, JON-09."""
+    rows = clauses(spark, sf).select("l_orderkey", "l_linenumber", F.explode(E.entity_diffs(E.entities(F.col("a")), E.entities(F.col("b")))).alias("d"))
+    return rows.select("l_orderkey", "l_linenumber", "d.type", "d.pos", "d.norm_a", "d.norm_b", "d.divergent")
+
+
+def _any(c: str, terms) -> str:
+    return "(" + " OR ".join(f"contains(lower({c}), '{t}')" for t in terms) + ")"
+
+
+def _cross(x, y) -> str:
+    return f"(({_any('a', x)} AND {_any('b', y)}) OR ({_any('a', y)} AND {_any('b', x)}))"
+
+
+POLARITY = f"CASE WHEN {_cross(E.MANDATORY, E.OPTIONAL)} THEN 'mandate' WHEN {_cross(E.PROHIBITED, E.PERMITTED)} THEN 'permission' END"
+
+
+@query(f"WITH {LINES} SELECT l_orderkey, l_linenumber, {POLARITY} AS polarity FROM li")
+def polarity_conflict(spark, sf):
+    """CMP-09."""
+    return clauses(spark, sf).select("l_orderkey", "l_linenumber", E.polarity_conflict(F.col("a"), F.col("b")).alias("polarity"))
+
+
+def _aligned(spark, sf):
+    rows = clauses(spark, sf)
+    return rows.select(F.col("l_orderkey").alias("pair_id"), "l_linenumber", F.col("a").alias("raw_a"), F.when(F.col("l_linenumber") % 5 != 0, F.col("b")).alias("raw_b"), F.lit(0.9).alias("lex"), F.lit(0.9).alias("score"))
+
+
+ROWS = f"""{ALL}, dv AS (SELECT l_orderkey, l_linenumber, bool_or(coalesce(a.norm <> b.norm, FALSE) AND type = 'duration') AS dur FROM (SELECT * FROM al WHERE side = 'a') a FULL JOIN (SELECT * FROM al WHERE side = 'b') b USING (l_orderkey, l_linenumber, type, pos) GROUP BY ALL),
+k AS (SELECT li.l_orderkey AS pair_id, li.l_linenumber, a, b, CASE WHEN l_linenumber % 5 = 0 THEN 'removed' WHEN {POLARITY} IS NOT NULL OR dur THEN 'conflict' ELSE 'modified' END AS diff_type FROM li JOIN dv USING (l_orderkey, l_linenumber)),
+st AS (SELECT pair_id, count(*) AS n_a, count(*) FILTER (l_linenumber % 5 <> 0) AS n_b, 0 AS added, count(*) FILTER (diff_type = 'removed') AS removed, 0 AS unchanged, count(*) FILTER (diff_type = 'modified') AS modified, count(*) FILTER (diff_type = 'conflict') AS conflict FROM k GROUP BY pair_id)"""
+
+
+@query(f"{ROWS} SELECT * FROM st")
+def comparison_stats(spark, sf):
+    """CMP-10, CMP-13: every fifth clause is removed in version b."""
+    return compare.statistics(compare.classify(_aligned(spark, sf))).drop("divergence")
+
+
+@query(f"{ROWS} SELECT pair_id, round(least(1.0, (conflict + 0.75 * (added + removed) + 0.5 * modified) / greatest(n_a, n_b, 1)), 4) AS divergence FROM st")
+def divergence_index(spark, sf):
+    """CMP-12."""
+    return compare.statistics(compare.classify(_aligned(spark, sf))).select("pair_id", "divergence")
+
+
+@query(f"{ROWS} SELECT pair_id, l_linenumber FROM k WHERE diff_type = 'conflict'")
+def conflicts_only(spark, sf):
+    """FLT-08/09."""
+    return compare.classify(_aligned(spark, sf)).where("diff_type = 'conflict'").select("pair_id", "l_linenumber")
+
+
+@query(r"""WITH w AS (SELECT p_partkey, p_size, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9_\-.]+')) AS w FROM part)
+SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM w a JOIN w b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+def clause_jaccard_matrix(spark, sf):
+    """JON-06, JON-15, TXT-02/04: similarity matrix within blocks."""
+    p = table(spark, sf, "part").select("p_partkey", "p_size", T.words(F.concat_ws(" ", "p_name", "p_type")).alias("w"))
+    q = p.select(F.col("p_partkey").alias("b"), "p_size", F.col("w").alias("v"))
+    return p.join(q, "p_size").where("p_partkey < b").select(F.col("p_partkey").alias("a"), "b", F.round(T.jaccard(F.col("w"), F.col("v")), 6).alias("similarity"))
+
+
+def _documents(spark, sf) -> DataFrame:
+    rows = clauses(spark, sf)
+    line = lambda c: F.concat(F.lit("## Section "), F.col("l_linenumber").cast("string"), F.lit(": Terms\n"), F.col(c))
+    pick = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line(c).alias("t")))), lambda s: s["t"]), "\n\n")
+    both = rows.groupBy("l_orderkey").agg(pick("a").alias("a"), pick("b").alias("b"))
+    return both.select(F.col("l_orderkey").cast("string").alias("pair_id"), F.expr("stack(2, 'a', a, 'b', b) AS (side, text)"))
+
+
+@query()
+def clause_greedy_align(spark, sf):
+    """CMP-01..05, JON-06..08."""
+    return compare.align(compare.extract(_documents(spark, sf))).select("pair_id", "ia", "ib", "score", "method")
+
+
+@query()
+def document_comparison(spark, sf):
+    """CMP-14 end to end."""
+    return compare.statistics(compare.compare(_documents(spark, sf)))
+
+
+# Claims are a line item's version a, evidence its version b under citation 1; citation 2 does not exist.
+OWN = r"list_filter(list_distinct(regexp_extract_all(lower({t}), '[a-z0-9_\-]+')), lambda w: length(w) > 1 AND NOT list_contains([{stop}], w))"
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+CLAIM = f"""{{lines}}, cl AS (SELECT l_orderkey AS answer_id, l_linenumber AS pos, a, CASE WHEN l_linenumber % 3 = 2 THEN NULL ELSE b END AS ev FROM li),
+lost AS (SELECT *, len(list_filter(list_concat(regexp_extract_all(a, '\\$\\d+'), regexp_extract_all(a, '\\b\\d+%'), regexp_extract_all(a, 'Section\\s+\\d+'), regexp_extract_all(a, '\\b\\d+\\b')), lambda x: NOT contains(ev, x))) AS lost FROM cl),
+sc AS (SELECT *, CASE WHEN ev IS NULL OR lost > 0 THEN 0.0 ELSE round(len(list_intersect({OWN.format(t='a', stop=_STOP)}, {OWN.format(t='ev', stop=_STOP)})) / len({OWN.format(t='a', stop=_STOP)}), 3) END AS score FROM lost),
+cv AS (SELECT answer_id, pos, score, CASE WHEN ev IS NULL OR lost > 0 THEN 'unsupported' WHEN score >= 0.35 THEN 'supported' WHEN score >= 0.175 THEN 'partially_supported' ELSE 'unsupported' END AS status FROM sc)""".replace("{lines}", LINES)
+
+
+def _verified(spark, sf):
+    rows = clauses(spark, sf)
+    claim = rows.select(F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("pos"), F.col("a").alias("claim"), F.array(F.when(F.col("l_linenumber") % 3 == 2, F.lit(0)).otherwise(F.col("l_linenumber"))).alias("ids"))
+    item = rows.select(F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("citation_id"), F.col("b").alias("text"))
+    return evidence.verify_claims(claim, item)
+
+
+@query(f"WITH {CLAIM} SELECT answer_id, pos, score, status FROM cv")
+def claim_grounding(spark, sf):
+    """GRD-03/04, JON-10: every third claim cites a missing item."""
+    return _verified(spark, sf).select("answer_id", "pos", "score", "status")
+
+
+@query(f"WITH {CLAIM} SELECT answer_id, n, s, u, CASE WHEN s = n THEN 'fully_grounded' WHEN s > 0 AND (u = 0 OR 2 * s >= n) THEN 'partially_grounded' ELSE 'unsupported' END AS grounding FROM (SELECT answer_id, count(*) AS n, count(*) FILTER (status = 'supported') AS s, count(*) FILTER (status = 'unsupported') AS u FROM cv GROUP BY answer_id)")
+def answer_status(spark, sf):
+    """GRD-05."""
+    return evidence.answer_status(_verified(spark, sf))
+
+
+@query(f"""WITH {LINES}, t AS (SELECT l_orderkey AS answer_id, lower(a) || ' retention' AS t FROM li)
+SELECT answer_id, count(*) AS n, count(DISTINCT CAST(regexp_extract(t, '(\\d+)\\s*days?', 1) AS BIGINT)) AS periods, bool_or(regexp_matches(t, 'mandatory|required')) AND bool_or(regexp_matches(t, 'optional|discretionary')) AS mandate,
+ bool_or(regexp_matches(t, 'prohibited|forbidden')) AND bool_or(regexp_matches(t, 'permitted|allowed')) AS permission, count(*) >= 2 AND (count(DISTINCT CAST(regexp_extract(t, '(\\d+)\\s*days?', 1) AS BIGINT)) > 1 OR (bool_or(regexp_matches(t, 'mandatory|required')) AND bool_or(regexp_matches(t, 'optional|discretionary'))) OR (bool_or(regexp_matches(t, 'prohibited|forbidden')) AND bool_or(regexp_matches(t, 'permitted|allowed')))) AS conflict FROM t GROUP BY answer_id""")
+def evidence_conflict(spark, sf):
+    """GRD-06."""
+    return evidence.evidence_conflict(clauses(spark, sf).select(F.col("l_orderkey").alias("answer_id"), F.concat(F.col("a"), F.lit(" retention")).alias("text")))
+
+
+def _ranked(spark, sf) -> DataFrame:
+    c = chunks(spark, sf)
+    hits = R.bm25(c, items(spark, sf), 25).withColumnRenamed("score", "fused")
+    return hits.join(c.select("chunk_id", "doc_id", "department", "content"), "chunk_id").join(items(spark, sf), "query_id")
+
+
+@query()
+def rerank_overlap(spark, sf):
+    """RNK-10."""
+    return evidence.rerank(_ranked(spark, sf), evidence.overlap_scorer).select("query_id", "chunk_id", F.round("probability", 6).alias("probability"), "new_rank", "rank_delta")
+
+
+@query()
+def compress_sentences(spark, sf):
+    """SEL-02..05."""
+    return evidence.compress(_ranked(spark, sf)).select("query_id", "chunk_id", "compressed", "tokens", "ratio")
+
+
+@query()
+def evidence_pack(spark, sf):
+    """SEL-01, RNK-11."""
+    best = evidence.compress(evidence.rerank(_ranked(spark, sf), evidence.overlap_scorer))
+    return evidence.pack(best.select("query_id", F.col("new_rank").alias("rank"), "chunk_id", "doc_id", F.col("department").alias("section"), F.col("compressed").alias("text"), "tokens"))
+
+
+@query()
+def grounded_answers(spark, sf):
+    """GRD-01, GRD-02, GRD-07, GRD-08."""
+    c = _ranked(spark, sf).where("rank <= 10")
+    return evidence.synthesize(c.select(F.col("query_id").alias("answer_id"), F.col("rank").alias("citation_id"), F.col("content").alias("text")))
+
+
+def elements(spark, sf) -> DataFrame:
+    e = structure.html_elements(table(spark, sf, "pages"))
+    return structure.breadcrumbs(e).withColumn("page", F.lit(1))
+
+
+@query()
+def chunk_pack(spark, sf):
+    """CHK-01..10 over the pages' elements."""
+    return chunking.chunk(elements(spark, sf)).select("doc_id", "chunk_index", "tokens", "section", "hash")
+
+
+@query()
+def table_slices(spark, sf):
+    """CHK-08, PRS-02: one table a supplier nation."""
+    s = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.array(F.col("s_suppkey").cast("string"), F.col("s_name")))).alias("r"))
+    t = s.select(F.col("s_nationkey").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("ord"), F.lit("table").alias("type"), structure.markdown_table(F.concat(F.array(F.array(F.lit("id"), F.lit("name"))), F.col("r"))).alias("text"), F.lit("Suppliers").alias("section"), F.lit(1).alias("page"))
+    return chunking.chunk(t, most=64).select("doc_id", "chunk_index", "tokens", "content")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type FROM events), g AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS ch FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CAST(sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM g""")
+def section_islands(spark, sf):
+    """CHK-04: runs of one event type stand for runs of one section."""
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("doc_id"), F.struct("ts", "event_id").alias("ord"), F.lit("paragraph").alias("type"), F.col("event_type").alias("section"))
+    return chunking.islands(e).select("event_id", "island")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, ts, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 END AS l, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events),
+s AS (SELECT *, max(CASE WHEN l = 1 THEN o END) OVER w AS o1, max(CASE WHEN l = 2 THEN o END) OVER w AS o2, max(CASE WHEN l = 3 THEN o END) OVER w AS o3 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY o ROWS UNBOUNDED PRECEDING))
+SELECT event_id, concat_ws(' > ', CASE WHEN o1 IS NOT NULL THEN 'h' || o1 END, CASE WHEN o2 > coalesce(o1, 0) THEN 'h' || o2 END, CASE WHEN o3 > greatest(coalesce(o1, 0), coalesce(o2, 0)) THEN 'h' || o3 END) AS section FROM s""")
+def breadcrumb_carry(spark, sf):
+    """PRS-08: signup, purchase and error events stand for headings of level 1 to 3."""
+    from pyspark.sql.window import Window
+
+    o = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    kind = F.when(F.col("event_type") == "signup", "h1").when(F.col("event_type") == "purchase", "h2").when(F.col("event_type") == "error", "h3").otherwise("paragraph")
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("doc_id"), o.alias("ord"), kind.alias("type")).withColumn("text", F.concat(F.lit("h"), F.col("ord").cast("string")))
+    return structure.breadcrumbs(e).select("event_id", "section")
+
+
+BLOCKS = """blocks AS (SELECT l_orderkey AS doc_id, 1 AS page, l_linenumber AS block, CASE WHEN l_linenumber % 2 = 0 THEN 310.0 ELSE 20.0 END AS x0, CASE WHEN l_linenumber % 2 = 0 THEN 580.0 WHEN l_linenumber = 7 THEN 560.0 ELSE 290.0 END AS x1, l_quantity * 10 AS y0, l_quantity * 10 + 8 AS y1, 600.0 AS page_w, 800.0 AS page_h FROM lineitem)"""
+
+
+def _blocks(spark, sf) -> DataFrame:
+    n = F.col("l_linenumber")
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), n.alias("block"), F.when(n % 2 == 0, 310.0).otherwise(20.0).alias("x0"), F.when(n % 2 == 0, 580.0).when(n == 7, 560.0).otherwise(290.0).alias("x1"),
+        (F.col("l_quantity") * 10).alias("y0"), (F.col("l_quantity") * 10 + 8).alias("y1"), F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"),
+    )
+
+
+@query(f"""WITH {BLOCKS}, z AS (SELECT *, count(*) FILTER (x1 <= 315) OVER p >= 2 AND count(*) FILTER (x0 >= 285 AND x1 > 315) OVER p >= 2 AS two FROM blocks WINDOW p AS (PARTITION BY doc_id, page)),
+q AS (SELECT *, CASE WHEN NOT two THEN 0 WHEN x1 > 315 AND x0 < 285 AND y0 < page_h / 3 THEN 0 WHEN x1 <= 315 THEN 1 WHEN x0 >= 285 THEN 2 ELSE 3 END AS zone FROM z)
+SELECT doc_id, block, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY zone, y0, x0, block) AS INTEGER) AS ord FROM q""")
+def reading_order(spark, sf):
+    """PRS-05."""
+    return structure.reading_order(_blocks(spark, sf)).select("doc_id", "block", "ord")
+
+
+@query(f"""WITH {BLOCKS}, t AS (SELECT o_orderkey AS doc_id, 1 AS page, 0.0 AS x0, 300.0 AS x1, CAST(o_orderkey % 300 AS DOUBLE) AS y0, CAST(o_orderkey % 300 + 150 AS DOUBLE) AS y1 FROM orders)
+SELECT doc_id, block FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = b.doc_id AND t.page = b.page AND (b.x0 + b.x1) / 2 BETWEEN t.x0 - 2 AND t.x1 + 2 AND (b.y0 + b.y1) / 2 BETWEEN t.y0 - 2 AND t.y1 + 2)""")
+def spatial_anti_join(spark, sf):
+    """PRS-03."""
+    k = F.col("o_orderkey")
+    t = table(spark, sf, "orders").select(k.alias("doc_id"), F.lit(1).alias("page"), F.lit(0.0).alias("x0"), F.lit(300.0).alias("x1"), (k % 300).cast("double").alias("y0"), (k % 300 + 150).cast("double").alias("y1"))
+    return structure.outside_tables(_blocks(spark, sf), t).select("doc_id", "block")
+
+
+@query("""WITH s AS (SELECT l_suppkey AS doc_id, round(l_tax * 100, 1) AS size, l_orderkey * 10 + l_linenumber AS seq FROM lineitem), p AS (SELECT doc_id, size, count(*) AS n, min(seq) AS seq FROM s GROUP BY doc_id, size)
+SELECT doc_id, size AS body FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seq) = 1""")
+def body_font_mode(spark, sf):
+    """PRS-01, AGG-12."""
+    s = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.lit("some text").alias("text"), F.round(F.col("l_tax") * 100, 1).alias("size"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return structure.body_font(s)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 9 = 1 AND r >= 1.8 AND length(p_name) <= 80 THEN 'title' WHEN r >= 1.5 THEN 'h1' WHEN r >= 1.25 THEN 'h2' WHEN r >= 1.15 THEN 'h3' WHEN p_partkey % 2 = 0 AND r >= 1.08 THEN 'h3' ELSE 'paragraph' END AS type FROM (SELECT *, p_size / 20 AS r FROM part)""")
+def block_classify(spark, sf):
+    """PRS-07."""
+    return table(spark, sf, "part").select("p_partkey", structure.classify(F.col("p_name"), F.col("p_size") / 20, F.lit(1.0), F.col("p_partkey") % 2 == 0, F.col("p_size") % 9).alias("type"))
+
+
+AUDIT = "au AS (SELECT event_id, ts AS created_at, user_id, CASE event_type WHEN 'error' THEN 'auth_login_failure' WHEN 'signup' THEN 'auth_register' WHEN 'purchase' THEN 'document_read' WHEN 'view' THEN 'rag_query' ELSE 'document_compared' END AS event_type, CASE WHEN event_type = 'error' THEN 'WARNING' ELSE 'INFO' END AS severity, CASE WHEN event_type = 'error' THEN 'denied' ELSE 'granted' END AS result, event_type AS action FROM events)"
+PAYLOAD = "CAST(event_id AS VARCHAR) || '|' || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '|req-' || event_id || '|' || event_type || '|' || severity || '|' || user_id || '|' || action || '|session|' || user_id || '|' || result || '|'"
+
+
+def log(spark, sf) -> DataFrame:
+    return A.from_events(table(spark, sf, "events"))
+
+
+@query(f"WITH {AUDIT} SELECT count(*) AS total, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (result = 'denied') AS denied, count(DISTINCT user_id) AS users, count(DISTINCT CAST(user_id AS VARCHAR)) AS resources, round(count(*) FILTER (result = 'denied') / count(*), 6) AS denied_share FROM au")
+def audit_stats(spark, sf):
+    """AGG-02, AGG-03."""
+    return A.statistics(log(spark, sf))
+
+
+@query(f"WITH {AUDIT} SELECT event_type, severity, count(*) AS n FROM au GROUP BY GROUPING SETS ((event_type), (severity), ())")
+def audit_by_type(spark, sf):
+    """AGG-01."""
+    return A.by_type(log(spark, sf))
+
+
+@query(f"WITH {AUDIT} SELECT event_id, sha256({PAYLOAD} || '|GENESIS') AS event_hash FROM au")
+def audit_event_hash(spark, sf):
+    """AUD-01."""
+    return log(spark, sf).select("event_id", A.event_hash(F.lit(None).cast("string")).alias("event_hash"))
+
+
+@query(f"""WITH {AUDIT}, h AS (SELECT *, sha256({PAYLOAD} || '|GENESIS') AS event_hash, lag(event_id) OVER (PARTITION BY user_id ORDER BY created_at, event_id) AS p FROM au)
+SELECT event_id, 'broken_link' AS kind FROM h WHERE p IS NOT NULL UNION ALL SELECT event_id, 'changed_row' FROM h WHERE event_id % 7 = 0""")
+def audit_chain_verify(spark, sf):
+    """AUD-02 on a log whose rows all claim to be first, with every seventh changed."""
+    bad = log(spark, sf).withColumn("previous_event_hash", F.lit(None).cast("string")).withColumn("event_hash", A.event_hash(F.lit(None).cast("string")))
+    bad = bad.withColumn("action", F.when(F.col("event_id") % 7 == 0, "forged").otherwise(F.col("action")))
+    return A.verify(bad)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS violations, count(*) AS n FROM events")
+def audit_chain_roundtrip(spark, sf):
+    """AUD-03, then AUD-02: a built chain has no violation."""
+    built = A.chain(log(spark, sf))
+    n = built.agg(F.count("*").alias("n"))
+    return A.verify(built).agg(F.count("*").alias("violations")).join(F.broadcast(n))
+
+
+@query("SELECT event_id, n FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error') WHERE n >= 5")
+def login_burst_sliding(spark, sf):
+    """AUD-04/05: five failures in seven days (ten minutes would find none in these data)."""
+    return A.sliding(log(spark, sf).where("event_type = 'auth_login_failure'"), minutes=7 * 24 * 60).select("event_id", "n")
+
+
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM (SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error') WHERE n >= 5),
+f AS (SELECT user_id, r, event_id, ts AS last, TRUE AS hit FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, o.event_id, CASE WHEN o.ts - f.last > INTERVAL 7 DAY THEN o.ts ELSE f.last END, o.ts - f.last > INTERVAL 7 DAY FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1)
+SELECT user_id, event_id FROM f WHERE hit""")
+def burst_with_suppression(spark, sf):
+    """AUD-04 with one alert a key and window."""
+    return A.bursts(log(spark, sf).where("event_type = 'auth_login_failure'"), minutes=7 * 24 * 60).select("user_id", "event_id")
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def top_event_latest(spark, sf):
+    """RNK-13."""
+    return A.latest(log(spark, sf))
+
+
+@query(f"WITH {AUDIT} SELECT event_id, user_id FROM au WHERE event_type = 'document_read' AND severity = 'INFO' ORDER BY created_at DESC, event_id DESC LIMIT 100 OFFSET 10")
+def audit_query_page(spark, sf):
+    """FLT-07, RNK-12: the page is the feature; limits are clamped to 100."""
+    return A.search(log(spark, sf), limit=1000, offset=10, event_type="document_read", severity="INFO").select("event_id", "user_id")
