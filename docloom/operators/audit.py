@@ -49,9 +49,9 @@ def chain(events: DataFrame, by: str = "user_id") -> DataFrame:
             own.append(prev)
         return pdf.assign(previous_event_hash=before, event_hash=own)
 
-    from pyspark.sql.types import StringType
+    from pyspark.sql.types import StringType, StructType
 
-    schema = rows.schema.add("previous_event_hash", StringType()).add("event_hash", StringType())
+    schema = StructType(list(rows.schema.fields)).add("previous_event_hash", StringType()).add("event_hash", StringType())
     return rows.groupBy(by).applyInPandas(fold, schema).drop("payload")
 
 
