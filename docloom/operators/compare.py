@@ -99,21 +99,34 @@ def scored_pairs(clauses: DataFrame, vec: str | None = None) -> DataFrame:
 
     The join is on pair_id: its size is the product of two documents' clauses, not of the corpus.
     """
-    keep = [c for c in ("section", "raw", "norm", "is_table", vec) if c]
-    a = clauses.where("side = 'a'").select("pair_id", F.col("idx").alias("ia"), *[F.col(c).alias(f"{c}_a") for c in keep])
-    b = clauses.where("side = 'b'").select("pair_id", F.col("idx").alias("ib"), *[F.col(c).alias(f"{c}_b") for c in keep])
+    terms = F.array(*[F.lit(t) for t in T.POLICY_TERMS])
+    # sets are made once a clause, before the join
+    made = clauses.select(
+        "pair_id", "side", "idx", F.trim("raw").alias("raw"), F.trim("norm").alias("norm"), "is_table", T.words(T.normalize_heading(F.col("section"))).alias("heads"),
+        T.words(F.col("norm")).alias("words"), T.trigrams(F.col("norm")).alias("grams"), F.array_intersect(T.words(F.col("raw")), terms).alias("terms"), *([F.col(vec).alias("vec")] if vec else []),
+    )
+    keep = [c for c in made.columns if c not in ("pair_id", "side", "idx")]
+    a = made.where("side = 'a'").select("pair_id", F.col("idx").alias("ia"), *[F.col(c).alias(f"{c}_a") for c in keep])
+    b = made.where("side = 'b'").select("pair_id", F.col("idx").alias("ib"), *[F.col(c).alias(f"{c}_b") for c in keep])
     p = a.join(b, "pair_id")
-    head = T.jaccard(T.words(T.normalize_heading(F.col("section_a"))), T.words(T.normalize_heading(F.col("section_b"))))
-    p = p.withColumn("head", F.round(head, 4)).withColumn("lex", T.lexical_similarity(F.col("norm_a"), F.col("norm_b")))
+    jac = lambda c: T.jaccard(F.col(f"{c}_a"), F.col(f"{c}_b"))
+    blank = (F.col("norm_a") == "") | (F.col("norm_b") == "")
+    lex = F.when(blank, 0.0).when(F.col("norm_a") == F.col("norm_b"), 1.0).otherwise(F.round(0.7 * jac("words") + 0.3 * jac("grams"), 4))
     # without vectors the lexical score stands in, as it does where an embedder fails
-    sem = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine(F.col(f"{vec}_a"), F.col(f"{vec}_b")))), 4) if vec else F.col("lex")
-    p = p.withColumn("sem", F.when(F.trim("raw_a") == F.trim("raw_b"), 1.0).otherwise(sem)).withColumn("kw", T.keyword_similarity(F.col("raw_a"), F.col("raw_b")))
-    return p.withColumn("score", pair_score()).withColumn("method", method()).where(accepted())
+    sem = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine(F.col("vec_a"), F.col("vec_b")))), 4) if vec else None
+    same = F.col("raw_a") == F.col("raw_b")
+    first = F.struct(F.round(jac("heads"), 4).alias("head"), lex.alias("lex"), jac("terms").alias("kw"), *([sem.alias("sem")] if vec else []))
+
+    def score(m: Column) -> Column:
+        s = F.when(same, 1.0).otherwise(m["sem"] if vec else m["lex"])
+        return F.struct(m["head"].alias("head"), m["lex"].alias("lex"), s.alias("sem"), pair_score(m["head"], m["lex"], s, m["kw"]).alias("score"))
+
+    p = p.withColumn("m", T.let(T.let(first, score), lambda m: F.struct(m["head"].alias("head"), m["lex"].alias("lex"), m["sem"].alias("sem"), m["score"].alias("score"), accepted(m).alias("ok"))))
+    return p.where("m.ok").select("pair_id", "ia", "ib", "m.head", "m.lex", "m.sem", "m.score", method(F.col("m")).alias("method"))
 
 
-def pair_score() -> Column:
-    """CMP-02: six ordered cases over head, lex, sem, kw."""
-    h, x, s, k = (F.col(c) for c in ("head", "lex", "sem", "kw"))
+def pair_score(h: Column, x: Column, s: Column, k: Column) -> Column:
+    """CMP-02: six ordered cases over heading, lexical, semantic and keyword similarity."""
     v = (
         F.when(F.col("is_table_a") & F.col("is_table_b"), 0.3 * h + 0.7 * x)
         .when(F.col("is_table_a") != F.col("is_table_b"), 0.4 * x + 0.1 * s)
@@ -125,14 +138,14 @@ def pair_score() -> Column:
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)), 4)
 
 
-def accepted(tau: float = TAU) -> Column:
+def accepted(m: Column, tau: float = TAU) -> Column:
     """CMP-04."""
-    h, x, s, c = (F.col(n) for n in ("head", "lex", "sem", "score"))
+    h, x, s, c = (m[n] for n in ("head", "lex", "sem", "score"))
     return (c >= tau) | ((h >= 0.8) & ((s >= 0.45) | (x >= 0.35))) | ((s >= 0.6) & ((c >= 0.4) | (h >= 0.3) | (x >= 0.1)))
 
 
-def method() -> Column:
-    return F.when(F.col("lex") >= 0.95, "exact").when(F.col("head") >= 0.8, "structural").otherwise("semantic")
+def method(m: Column) -> Column:
+    return F.when(m["lex"] >= 0.95, "exact").when(m["head"] >= 0.8, "structural").otherwise("semantic")
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
