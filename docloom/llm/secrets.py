@@ -66,10 +66,11 @@ def features(found: Column, before: Column, after: Column, path: Column) -> dict
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """(doc_id, path, start, found, before, after): every candidate of every whole text, with 48 characters on each side."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
-    rows = docs.select("doc_id", where.alias("path"), F.split(F.col("text").cast("string"), _BEGIN).alias("pieces")).where(F.size("pieces") > 1)
+    rows = docs.select("doc_id", where.alias("path"), F.split(F.col("text").cast("string"), _BEGIN).alias("pieces"))
     # a piece begins with a candidate, but the first may not
     begins = F.regexp_like(F.element_at("pieces", 1), F.lit(rf"^[{RUN}]{{16}}")) & F.regexp_like(F.element_at("pieces", 1), F.lit(r"^[A-Za-z_+/=-]*+[0-9]"))
-    rows = rows.withColumn("i", F.explode(F.sequence(F.when(begins, F.lit(1)).otherwise(F.lit(2)), F.size("pieces"))))
+    rows = rows.withColumn("first", F.when(begins, 1).otherwise(2)).where(F.col("first") <= F.size("pieces"))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.col("first"), F.size("pieces"))))
     piece = F.element_at("pieces", F.col("i"))
     start = F.aggregate(F.slice("pieces", F.lit(1), F.col("i") - 1), F.lit(0), lambda s, p: s + F.length(p))
     left = F.when(F.col("i") > 1, F.expr("right(element_at(pieces, i - 1), 48)")).otherwise(F.lit(""))
