@@ -82,7 +82,12 @@ LABELLED = (
     "reach us on {local_phone:(415) 555-0100} today",
     "my number is {local_phone:555-867-5309} ok",
     "cell {local_phone:202.555.0173} anytime",
+    "phone: {local_phone:555-0163} ok",
+    "at 12:30 phone: {local_phone:555-0175} please",
+    "in 2020 call {local_phone:212 555 0116} now",
+    "Tel: {local_phone:040 5550122}; next",
     "ssn {id_number:078-05-1120} on file",
+    "since 1999 ssn: {id_number:123-45-6789}; thanks",
     "social security number {id_number:219-09-9999} given",
     "passport {id_number:X12345678} expires soon",
     "passport no. {id_number:C01X00T47} was issued",
@@ -231,7 +236,7 @@ def _table(lines) -> tuple[list[list[list[str]]], list[list[int]]]:
     return runs, tags
 
 
-def train(lines=LABELLED, steps: int = 400, rate: float = 0.1, decay: float = 2e-3) -> Field:
+def train(lines=LABELLED, steps: int = 400, rate: float = 0.1, decay: float = 5e-4) -> Field:
     """Maximum likelihood with a ridge, by Adam on the exact forward-backward gradient."""
     runs, tags = _table(lines)
     names = {f: i for i, f in enumerate(sorted({f for r in runs for fs in r for f in fs}))}
