@@ -209,11 +209,16 @@ def patterns(histogram: np.ndarray, size: np.ndarray, capacity: int, rounds: int
             inverse = inverse - np.outer(direction, row)
             inverse[r] = row
             basis[:, r] = pool[:, j]
-        if np.linalg.cond(basis) > 1e10:  # rounding spoilt the basis: the last round's patterns stay
+        try:
+            fresh = np.linalg.inv(basis)
+            spoilt = np.abs(basis @ fresh - np.eye(m)).max() > 1e-6
+        except np.linalg.LinAlgError:
+            spoilt = True
+        if spoilt:  # by rounding: the last round's patterns stay
             basis = good
             x = np.maximum(np.linalg.solve(basis, demand), 0)
             break
-        inverse = np.linalg.inv(basis)
+        inverse = fresh
         x = np.maximum(inverse @ demand, 0)
     left = histogram.astype(np.int64).copy()
     out: list[tuple[np.ndarray, int]] = []
