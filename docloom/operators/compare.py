@@ -149,20 +149,20 @@ def method(m: Column) -> Column:
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
-    """JON-07: one-to-one matching, best score first (ties: lower ia, then ib), in one fold a document pair."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "ia", "ib"], ascending=[False, True, True])
-        ua, ub, keep = set(), set(), []
-        for i, j in zip(pdf.ia, pdf.ib):
-            keep.append(i not in ua and j not in ub)
-            if keep[-1]:
-                ua.add(i)
-                ub.add(j)
-        return pdf[keep]
-
-    narrow = pairs.select("pair_id", "ia", "ib", "head", "lex", "sem", "score", "method")
-    return narrow.groupBy("pair_id").applyInPandas(fold, narrow.schema)
+    """JON-07: one-to-one matching, best score first (ties: lower ia, then ib), as a fold over each document pair's accepted pairs."""
+    row = F.struct((-F.col("score")).alias("key"), "ia", "ib", "head", "lex", "sem", "score", "method")
+    rows = pairs.groupBy("pair_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    none = F.expr("cast(array() as array<int>)")
+    start = F.struct(none.alias("ua"), none.alias("ub"))
+
+    # used clauses grow by one pair a step; a pair of two unused ones is taken
+    def step(acc: Column, x: Column) -> Column:
+        taken = F.array_contains(acc["ua"], x["ia"]) | F.array_contains(acc["ub"], x["ib"])
+        return F.when(taken, acc).otherwise(F.struct(F.array_append(acc["ua"], x["ia"]).alias("ua"), F.array_append(acc["ub"], x["ib"]).alias("ub")))
+
+    used = rows.withColumn("used", F.aggregate("all", start, step)).withColumn("used", F.arrays_zip(F.col("used.ua").alias("ia"), F.col("used.ub").alias("ib")))
+    kept = used.select("pair_id", F.explode(F.filter("all", lambda x: F.array_contains(F.col("used"), F.struct(x["ia"].alias("ia"), x["ib"].alias("ib"))))).alias("x"))
+    return kept.select("pair_id", *[f"x.{c}" for c in ("ia", "ib", "head", "lex", "sem", "score", "method")])
 
 
 def align(clauses: DataFrame, vec: str | None = None) -> DataFrame:
