@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, packing, pii, simhash, toxicity
+from docloom.llm import decontaminate, packing, pii, similar, toxicity
 from docloom.llm.common import read, stored
 
 
@@ -18,8 +18,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return simhash.deduplicate(docs)
+    """One document of each component stays; links are pairs whose 5-word shingles have a similarity of at least 0.8."""
+    return similar.deduplicate(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
