@@ -84,9 +84,30 @@ def breadcrumbs(elements: DataFrame) -> DataFrame:
     return rows.withColumn("section", F.concat_ws(" > ", h1["t"], F.when(live2, h2["t"]), F.when(live3, h3["t"]))).drop("_h1", "_h2", "_h3")
 
 
+#: Tags that end a run of text; those of inline elements do not.
+_BLOCK = (
+    "address|article|aside|blockquote|body|br|button|caption|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hgroup|hr|html|iframe|legend|li|main|"
+    "menu|nav|ol|optgroup|option|p|pre|search|section|select|summary|table|tbody|td|textarea|tfoot|th|thead|title|tr|ul"
+)
+#: Comments, and the elements whose content is no text of the page; one left open reaches to the end.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\z)"
+#: A tag of a name; a ">" inside a quoted attribute does not end it. Possessive, as Java's other loops recurse.
+_REST = r"(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
+
+
 def html_elements(pages: DataFrame) -> DataFrame:
-    """Elements of raw web pages by tag: (doc_id, ord, type, text)."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)(<(h[1-6]|p|li|title)\b[^>]*>.*?</\2>)"), 1)
-    rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(found).alias("ord", "tag"))
-    kind = F.lower(F.regexp_extract("tag", r"(?i)^<(\w+)", 1))
-    return rows.select("doc_id", "ord", F.when(kind == "li", "list").when(kind == "p", "paragraph").otherwise(kind).alias("type"), F.trim(F.regexp_replace("tag", r"(?s)<[^>]*>", "")).alias("text"))
+    """Elements of raw web pages: (doc_id, ord, type, text).
+
+    Every run of text between two block tags is an element, so no visible text is lost; h1 to h6, p, li and title
+    begin elements of their type, which end at their own end tag or at the next block tag. Other runs are paragraphs.
+    """
+    mark, stop = "\x01", "\x02"
+    html = F.regexp_replace(F.translate("html", mark + stop, "  "), _HIDDEN, " ")
+    # a block tag becomes a mark, its name and a stop: the text behind it is a run of that name
+    html = F.regexp_replace(html, rf"(?i)<(/?)({_BLOCK}){_REST}", f"{mark}$1$2{stop}")
+    html = F.regexp_replace(html, rf"(?i)</?[a-z][a-z0-9:-]*{_REST}|<[!?][^>]*+>", "")
+    rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.split(html, mark)).alias("ord", "run"))
+    name = F.lower(F.regexp_extract("run", rf"^([^{stop}]*+){stop}", 1))
+    text = F.regexp_replace(F.regexp_replace("run", rf"^[^{stop}]*+{stop}", ""), r"^\s+|\s+$", "")
+    kind = F.when(name == "li", "list").when(name.rlike("^(h[1-6]|title)$"), name).otherwise("paragraph")
+    return rows.select("doc_id", "ord", kind.alias("type"), text.alias("text")).where("text <> ''")
