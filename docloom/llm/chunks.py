@@ -1,8 +1,8 @@
 """Texts cut where no token can cross, so that each distinct chunk is tokenized once.
 
 A slice of texts is one byte array. A 256 x 256 table says between which bytes a cut is safe; chunks are
-hashed in numpy, and only the distinct ones of a slice reach Python, where a bounded cache of bytes keeps
-what is known of each. The values are concatenated per text by one ragged gather.
+grouped by their bytes in numpy, and only the distinct ones of a slice reach Python, where a bounded cache of
+bytes keeps what is known of each. The values are concatenated per text by one ragged gather.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import hash_chunks, ragged
+from .common import distinct_chunks, ragged
 
 #: Distinct chunks a worker keeps; beyond it the cache starts anew. Long chunks are never kept.
 CACHE = 700_000
@@ -52,10 +52,9 @@ def cut(data: np.ndarray, offsets: np.ndarray, safe: np.ndarray, mapped: np.ndar
 
 def gather(data: np.ndarray, starts: np.ndarray, cache: ChunkCache, unit: int) -> tuple[np.ndarray, np.ndarray]:
     """(values of all chunks end to end as bytes, bytes of each chunk's value), for values of `unit` bytes each."""
-    h = hash_chunks(data, starts)
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    raw = memoryview(data)
     ends = np.append(starts[1:], len(data))
+    first, which = distinct_chunks(data, starts, ends)
+    raw = memoryview(data)
     values = cache.many([bytes(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())])
     size = np.fromiter(map(len, values), np.int64, len(values)) // unit
     pool = np.frombuffer(b"".join(values), np.uint8).reshape(-1, unit)

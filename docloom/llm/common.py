@@ -27,53 +27,141 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+#: Tables that this driver wrote into the shared folder; clear() deletes them.
+_TABLES: list[str] = []
+
+
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends, lost executors lose nothing.
 
-    A parquet table rather than checkpoint(): it is columnar and compressed, and computes df once.
+    A parquet table rather than checkpoint(): it is columnar and compressed, and computes df once. It lives
+    until release() of this frame or clear(); results read it lazily, so clear() comes after they are written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    _TABLES.append(path)
+    return out
 
 
-# ---------------------------------------------------------------- vectorised text chunks
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
-_RNG = np.random.default_rng(20240817)
-_BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.empty(0, np.uint64)
-_INVERSE = np.empty(0, np.uint64)
 
+def release(df: DataFrame) -> None:
+    """Delete the table of a stored() frame that nothing reads any more."""
+    _delete(df.sparkSession, df._stored_at)
+    _TABLES.remove(df._stored_at)
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64; the tables grow to the longest slice seen."""
-    global _POWERS, _INVERSE
-    if len(_POWERS) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        inv = np.uint64(pow(int(_BASE), -1, 2**64))
-        _POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _BASE)]), dtype=np.uint64)
-        _INVERSE = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, inv)]), dtype=np.uint64)
-    return _POWERS, _INVERSE
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that stored() wrote in this session."""
+    while _TABLES:
+        _delete(spark, _TABLES.pop())
 
-def hash_chunks(data: np.ndarray, starts: np.ndarray, codes: np.ndarray = _BYTE_CODES) -> np.ndarray:
-    """64-bit hash of data[starts[i]:starts[i+1]]; bytes with code 0 do not count.
 
-    A polynomial hash with secret odd codes, computed with one reduceat, then mixed. Callers group equal
-    hashes within one slice of a few MB only, where a collision has a chance below 1e-8.
-    """
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    p, inv = _powers(len(data))
-    h = np.add.reduceat(codes[data] * p[: len(data)], starts) * inv[starts]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
+# ---------------------------------------------------------------- vectorised text chunks
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LANES = 4
+_LONG = 8 * _LANES
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words whose outputs look random."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _lanes(data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(chunks, their bytes 8k to 8k + 7 as one word) for the chunks of more than 8k bytes, for each lane k."""
+    padded = np.zeros(len(data) + _LONG, np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray(len(data) + _LONG - 7, "<u8", padded, strides=(1,))
+    out = []
+    for k in range(_LANES):
+        at = np.flatnonzero(n > 8 * k)
+        out.append((at, words[starts[at] + 8 * k] & _MASK[np.minimum(n[at] - 8 * k, 8)]))
+    return out
+
+
+def hash_chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each data[starts[i]:ends[i]]: mixed words of its bytes, XXH64 beyond 32 bytes."""
+    from xxhash import xxh64_intdigest
+
+    n = ends - starts
+    h = mix(n.astype(np.uint64) * _STEP)
+    for at, w in _lanes(data, starts, n):
+        h[at] = mix((h[at] ^ w) + _STEP)
+    long = np.flatnonzero(n > _LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = mix(h[long] ^ np.fromiter((xxh64_intdigest(raw[a:b], 42) for a, b in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long)))
     return h
 
 
+def distinct_chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): a chunk of each kind, and the kind of each chunk; equal are only chunks of equal bytes.
+
+    Chunks are sorted by a hash, then every chunk's bytes are held against those of its kind: up to 32 bytes
+    as four words, longer ones by a dictionary of their bytes. Chunks that a hash confuses are sorted by bytes.
+    """
+    n = ends - starts
+    lanes = _lanes(data, starts, n)
+    ident = np.zeros(len(n), np.int64)
+    long = np.flatnonzero(n > _LONG)
+    if len(long):
+        raw, known = np.ascontiguousarray(data), {}
+        ident[long] = [known.setdefault(raw[a:b].tobytes(), len(known)) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    h = mix(n.astype(np.uint64) * _STEP ^ ident.astype(np.uint64))
+    for at, w in lanes:
+        h[at] = _fold(h[at], w)
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    full = [n, ident]
+    for at, w in lanes:
+        lane = np.zeros(len(n), np.uint64)
+        lane[at] = w
+        full.append(lane)
+    own = first[which]
+    if not all((x == x[own]).all() for x in full):
+        _, first, which = np.unique(np.stack([x.astype(np.uint64) for x in full], axis=1), axis=0, return_index=True, return_inverse=True)
+        which = which.reshape(-1)
+    return first, which
+
+
+def _fold(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix((h ^ w) + _STEP)
+
+
+# words: runs of ASCII letters and digits and non-ASCII bytes; A-Z count as a-z
+WORD = np.zeros(256, bool)
+WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of `inside` bytes; none runs over a row's end."""
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    m = inside[data]
+    start, end = m.copy(), m.copy()
+    start[1:] &= ~m[:-1]
+    end[:-1] &= ~m[1:]
+    rows = offsets[:-1]
+    rows = rows[rows < len(data)]
+    start[rows] = m[rows]
+    last = offsets[1:] - 1
+    last = last[last >= 0]
+    end[last] = m[last]
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
 def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column without copying; null is the empty text."""
     import pyarrow as pa
@@ -121,7 +209,6 @@ def components(edges: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = stored(e)
-    nodes = None
     before = None
     while True:
         # large star: every larger neighbour of u is joined to the least of u and its neighbours
@@ -131,7 +218,8 @@ def components(edges: DataFrame, partitions: int | None = None) -> DataFrame:
         # small star: u and its smaller neighbours are joined to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        old, e = e, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        release(old)  # e is a table of its own
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -6,12 +6,13 @@ Equal fingerprints are folded first, so a group of exact copies is one row befor
 A bucket of more than BUCKET fingerprints is cut into parts and every pair of parts is one group of work.
 
 Comparison inside buckets is bit-sliced: bit b of all fingerprints is one packed plane; for the pairs
-(i, i + d) the planes are XORed 64 pairs to a word, differences are added in a carry-save counter of two
-bit planes plus an overflow plane, and words whose pairs have all passed the radius are abandoned.
+(i, i + d) the planes are XORed 8 pairs to a byte, differences are added in a carry-save counter of two
+bit planes plus an overflow plane, and bytes whose pairs have all passed the radius are abandoned.
 
 Edge rules: null or empty text has fingerprint zero, linked like any other; rows with a null doc_id get a
 fingerprint and the component of their links, but never name a component (with no other row: null);
-repeated rows are linked through their equal fingerprints; other columns are ignored.
+repeated rows are linked through their equal fingerprints; an empty table gives no rows; very long texts are
+read whole, 65,536 shingles at a time; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import components, read, stored, utf8_column
 
@@ -174,36 +174,41 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(classes: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints fp that make the same components as all links do."""
     keyed = classes.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    n = F.count("*").over(Window.partitionBy("key"))
+    # counted by an aggregate: a hot bucket is summed where its rows are, and cut before it moves
+    count = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # a pair of parts (low, high) is one group; a bucket of one part is the group (0, 0)
-    parts = F.ceil(F.col("n") / BUCKET).cast("bigint")
-    keyed = keyed.withColumn("n", n).where("n > 1").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    keyed = keyed.join(count, "key").withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("bigint")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     groups = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.shiftleft(F.least(j, F.col("part")), 32).bitwiseOR(F.greatest(j, F.col("part"))))
     split = keyed.select("key", F.explode(groups).alias("grp"), "part", "fp")
     return split.repartition("key", "grp").sortWithinPartitions("key", "grp").mapInArrow(_link, "a bigint, b bigint")
 
 
+def _components(classes: DataFrame) -> DataFrame:
+    """(fp, least, first) of classes(fp, least): first is the least over the fingerprint's component."""
+    comp = components(links(classes.select("fp")))
+    named = classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    return named.join(named.groupBy("component").agg(F.min("least").alias("first")), "component").select("fp", "least", "first")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id), one row for each row of docs(doc_id, text)."""
     prints = stored(fingerprints(docs))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    comp = components(links(classes.select("fp")))
-    # name components by documents: the least id over a component's fingerprints
-    named = classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    ids = named.join(least, "component").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    placed = _components(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return prints.join(placed, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row that names it. All columns stay; rows with a null doc_id stay too.
+    """One row of each component, that of the least doc_id; all columns stay, and rows with a null doc_id do.
 
-    Of repeated rows with one doc_id, one stays.
+    Rows are told apart by a number of their own: of one doc_id with several texts each is judged by its text.
     """
-    found = near_duplicates(docs.where("doc_id is not null"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    named = rows.where("doc.doc_id is not null")
+    prints = fingerprints(named.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))).withColumnRenamed("doc_id", "row")
+    prints = stored(prints.join(named.select("row", F.col("doc.doc_id").cast("bigint").alias("doc_id")), "row"))
+    placed = _components(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("least")))
+    gone = prints.join(placed, "fp").where("row <> first.row").select(F.col("row").alias("gone"))
+    return rows.join(gone, rows["row"] == gone["gone"], "left_anti").select("doc.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,12 @@ In each bucket all rows are verified against its least one; then, of the rows th
 components, every pair that shares a bucket and whose sizes allow the similarity is verified too. So the
 components are those of all similar candidate pairs, and a large group of near copies is not paired with itself.
 
-Edge rules: null, empty and blank texts are one empty set, alike; rows with a null doc_id are not compared;
-other columns are ignored.
+Rows are told apart by a number of their own, so of one doc_id with several texts each is judged by its text.
+A set is named by 128 bits of its hashes; words, and so shingles, are compared by 64-bit hashes.
+
+Edge rules: null, empty and blank texts are one empty set, alike; rows with a null doc_id are not compared and
+stay; repeated rows are copies of each other; an empty table gives no rows; a text may be longer than a slice
+and is then one of its own; other columns are ignored and kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,19 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import _BYTE_CODES, components, hash_chunks, ragged, slices, stored, utf8_column
+from .common import LOWER, components, hash_chunks, mix, ragged, slices, stored, utf8_column, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_CODES = _BYTE_CODES.copy()
-_CODES[65:91] = _CODES[97:123]
-_CODES[_SPACE] = 0
+_SEEN = np.ones(256, bool)
+_SEEN[[9, 10, 11, 12, 13, 32]] = False
 _RNG = np.random.default_rng(20240818)
 _PLACE = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TURN = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,23 +43,12 @@ _SHIFT = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, starts): sorted distinct shingle hashes of each text of a slice; text i has hashes[starts[i]:starts[i + 1]]."""
     n = len(offsets) - 1
-    space = _SPACE[data]
-    first = ~space
-    if len(data):
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
-        first[1:] &= space[:-1] | edge[1:-1]
-    at = np.flatnonzero(first)
-    w = hash_chunks(data, at, _CODES)
+    low = LOWER[data]
+    at, ends = word_spans(low, offsets, _SEEN)
+    w = hash_chunks(low, at, ends)
     bound = np.searchsorted(at, offsets)
     count = np.diff(bound)
     runs = np.where(count >= SHINGLE, count - SHINGLE + 1, np.minimum(count, 1))
@@ -67,8 +58,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     h = length.astype(np.uint64) * _STEP
     for k in range(SHINGLE):
         inside = length > k
-        h[inside] += _mix(w[start[inside] + k] * _PLACE[k])
-    h = _mix(h)
+        h[inside] += mix(w[start[inside] + k] * _PLACE[k])
+    h = mix(h)
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     if len(h):
@@ -77,99 +68,104 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return h, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int64)
 
 
-def _each(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, hashes, starts, keys) of slices of a batch (doc_id, text); a key names a set, 0 the empty one."""
-    data, off = utf8_column(b.column(1))
+def _each(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, hashes, starts) of slices of a batch whose last column is the text."""
+    data, off = utf8_column(b.columns[-1])
     for i, j in slices(off):
-        h, at = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h * _STEP + _STEP), dtype=np.uint64)])
-        size = np.diff(at)
-        yield b.column(0).slice(i, j - i), h, at, np.where(size > 0, _mix(total[at[1:]] - total[at[:-1]]), np.uint64(0)).view(np.int64)
+        yield i, j, *shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
+def _name(h: np.ndarray, at: np.ndarray, turn: int) -> pa.Array:
+    """A 64-bit name of each set: its hashes turned, mixed and added up."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h * _TURN[turn] + _STEP), dtype=np.uint64)])
+    return pa.array(np.where(np.diff(at) > 0, mix(total[at[1:]] - total[at[:-1]]), np.uint64(0)).view(np.int64))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, bands): name and size of a document's shingle set, and its bucket keys."""
+    """(row, doc_id, key, other, n, bands, doc): the rows of docs, each with its number, the name and size of its
+    shingle set, and its bucket keys; doc holds the row as it was. Written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, h, at, key in _each(b):
+            for i, j, h, at in _each(b):
                 full = np.flatnonzero(np.diff(at))
-                bands = np.zeros((len(key), BANDS), np.uint64)
+                bands = np.zeros((j - i, BANDS), np.uint64)
                 for k in range(BANDS if len(full) else 0):
                     band = np.full(len(full), k + 1, np.uint64) * _STEP
                     for r in range(k * ROWS, k * ROWS + ROWS):
-                        band = _mix(band + np.minimum.reduceat(h * _TURN[r] + _SHIFT[r], at[full]))
+                        band = mix(band + np.minimum.reduceat(h * _TURN[r] + _SHIFT[r], at[full]))
                     bands[full, k] = band
-                where = pa.array(np.arange(len(key) + 1, dtype=np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(key), pa.array(np.diff(at)), pa.ListArray.from_arrays(where, pa.array(bands.reshape(-1).view(np.int64)))], names=["doc_id", "key", "n", "bands"])
+                where = pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS)
+                row, doc_id, doc, _ = b.slice(i, j - i).columns
+                columns = [row, doc_id, _name(h, at, 0), _name(h, at, 1), pa.array(np.diff(at)), pa.ListArray.from_arrays(where, pa.array(bands.reshape(-1).view(np.int64))), doc]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "key", "other", "n", "bands", "doc"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, key bigint, n bigint, bands array<bigint>")
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
+    long = [StructField(c, LongType()) for c in ("row", "doc_id", "key", "other", "n")]
+    return stored(rows.mapInArrow(run, StructType([*long, StructField("bands", ArrayType(LongType())), StructField("doc", docs.schema)])))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(key, shingles) of documents, as often as they occur."""
+def sets(texts: DataFrame) -> DataFrame:
+    """(row, shingles) of texts(row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, h, at, key in _each(b):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["key", "shingles"])
+            for i, j, h, at in _each(b):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["row", "shingles"])
 
-    return _texts(docs).mapInArrow(run, "key bigint, shingles array<bigint>")
+    return texts.mapInArrow(run, "row bigint, shingles array<bigint>")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set keys whose sets are similar."""
+def _verified(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows whose sets are similar."""
     pairs = stored(pairs)
-    used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    one = used.join(classes, "key").select("key", F.col("least_id").alias("_id"))
-    ids = one.select("_id").distinct()
-    text = docs.join(ids, docs["doc_id"].cast("bigint") == ids["_id"], "left_semi")
-    # a repeated doc_id may have other texts; only the sets asked for stay
-    found = stored(sets(text).join(used, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(found.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").join(found.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    found = stored(sets(drawn.select("row", F.col("doc.text").cast("string").alias("text")).join(used, "row", "left_semi")))
+    both = pairs.join(found.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b").join(found.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def links(drawn: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges (a, b) between set keys that make the same components as all similar candidate pairs do."""
-    one = drawn.where("n > 0").join(classes.select("key", "least_id"), "key").where("doc_id = least_id")
-    rows = stored(one.select("key", "n", F.explode("bands").alias("band")))
-    shared = stored(rows.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("band", "least"))
-    met = stored(rows.join(shared, "band").select("band", "key", "n", "least").distinct())
+def links(drawn: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between first rows of classes that make the same components as all similar candidate pairs do."""
+    one = drawn.where("n > 0").select("row", "n", "bands").join(classes.select("row"), "row", "left_semi")
+    rows = stored(one.select("row", "n", F.explode("bands").alias("band")))
+    shared = stored(rows.groupBy("band").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least <> most").select("band", "least"))
+    met = stored(rows.join(shared, "band").select("band", "row", "n", "least").distinct())
     fits = lambda x, y: F.least(x, y) >= F.lit(SIMILARITY) * F.greatest(x, y)
-    star = stored(_verified(met.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), classes, docs))
+    star = stored(_verified(met.where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b")).distinct(), drawn))
     comp = components(star)
-    placed = met.join(comp, met["key"] == comp["node"], "left").select("band", "key", "n", F.coalesce("component", "key").alias("comp"))
+    placed = met.join(comp, met["row"] == comp["node"], "left").select("band", "row", "n", F.coalesce("component", "row").alias("comp"))
     placed = stored(placed)
     mixed = stored(placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band"))
     left = stored(placed.join(mixed, "band"))
-    other = left.select("band", F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    rest = left.withColumnRenamed("key", "a").join(other, "band").where("a < b and comp <> other").where(fits(F.col("n"), F.col("m")))
-    return star.unionByName(_verified(rest.select("a", "b").distinct(), classes, docs))
+    other = left.select("band", F.col("row").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
+    rest = left.withColumnRenamed("row", "a").join(other, "band").where("a < b and comp <> other").where(fits(F.col("n"), F.col("m")))
+    return star.unionByName(_verified(rest.select("a", "b").distinct(), drawn))
+
+
+def _placed(drawn: DataFrame) -> DataFrame:
+    """(row, doc_id, first: struct(doc_id, row) of the component's least) of the rows with a doc_id."""
+    drawn = drawn.where("doc_id is not null")
+    least = F.min(F.struct("doc_id", "row")).alias("least")
+    classes = stored(drawn.groupBy("key", "other", "n").agg(least).withColumn("row", F.col("least.row")))
+    comp = components(links(drawn, classes))
+    named = classes.join(comp, classes["row"] == comp["node"], "left").select("key", "other", "n", "least", F.coalesce("component", "row").alias("component"))
+    first = named.groupBy("component").agg(F.min("least").alias("first"))
+    ids = named.join(first, "component").select("key", "other", "n", "first")
+    return drawn.select("row", "doc_id", "key", "other", "n").join(ids, ["key", "other", "n"]).select("row", "doc_id", "first")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id), one row for each row of docs(doc_id, text) with a doc_id."""
-    docs = docs.where("doc_id is not null")
-    drawn = stored(sketches(docs))
-    classes = stored(drawn.groupBy("key").agg(F.min("doc_id").alias("least_id")))
-    comp = components(links(drawn, classes, docs))
-    named = classes.join(comp, classes["key"] == comp["node"], "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    ids = named.join(least, "component").select("key", "component_id")
-    return drawn.select("doc_id", "key").join(ids, "key").select("doc_id", "component_id")
+    return _placed(sketches(docs.select("doc_id", "text"))).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row that names it. All columns stay; rows with a null doc_id stay too.
-
-    Of repeated rows with one doc_id, one stays.
-    """
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One row of each component, that of the least doc_id; all columns stay, and rows with a null doc_id do."""
+    drawn = sketches(docs)
+    gone = _placed(drawn).where("row <> first.row").select(F.col("row").alias("gone"))
+    kept = drawn.select("row", "doc").join(gone, drawn["row"] == gone["gone"], "left_anti")
+    return kept.select("doc.*")

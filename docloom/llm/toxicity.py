@@ -24,9 +24,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from .chunks import ChunkCache
-from .common import _BYTE_CODES, hash_chunks, read, slices, utf8_column
+from .common import LOWER, WORD, distinct_chunks, read, slices, utf8_column, word_spans
 
 SAMPLE = 1200
 ORDER = 9
@@ -34,38 +35,18 @@ SHARED = 2
 DISCOUNT = 0.75
 RUN = 2
 
-_WORD = np.zeros(256, bool)
-_WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_CODES = np.where(_WORD, _BYTE_CODES[_LOWER], np.uint64(0))
+_RNG = np.random.default_rng(20240817)
+_BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of words (ASCII letters and digits and non-ASCII bytes); none runs over a row's end."""
-    if not len(data):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    m = _WORD[data]
-    start, end = m.copy(), m.copy()
-    start[1:] &= ~m[:-1]
-    end[:-1] &= ~m[1:]
-    rows = offsets[:-1]
-    rows = rows[rows < len(data)]
-    start[rows] = m[rows]
-    last = offsets[1:] - 1
-    last = last[last >= 0]
-    end[last] = m[last]
-    return np.flatnonzero(start), np.flatnonzero(end) + 1
-
-
 def _positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte codes, position in the word, and word of each byte; a word stands between a begin and an end mark."""
     flat = np.frombuffer(b"".join([b"\x01" + w + b"\x02" for w in words]), np.uint8)
     n = np.fromiter(map(len, words), np.int64, len(words)) + 2
     word = np.repeat(np.arange(len(words), dtype=np.int32), n)
     at = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-    return _BYTE_CODES[_LOWER[flat]], at, word
+    return _BYTE_CODES[LOWER[flat]], at, word
 
 
 def _longer(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -184,8 +165,8 @@ def _bags(rows: DataFrame) -> pd.DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = utf8_column(b.column(1))
-            low = _LOWER[data]
-            low = np.where(_WORD[low], low, 32).astype(np.uint8).tobytes()
+            low = LOWER[data]
+            low = np.where(WORD[low], low, 32).astype(np.uint8).tobytes()
             texts = [b" ".join(low[i:j].split()) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()), b.column(2)], names=["h", "words", "toxic"])
 
@@ -213,9 +194,9 @@ class Model:
         first = np.searchsorted(starts, offsets)
         diff = np.empty(0)
         if len(starts):
-            h = hash_chunks(data, starts, _CODES)
-            _, one, which = np.unique(h, return_index=True, return_inverse=True)
-            raw = _LOWER[data].tobytes()
+            low = LOWER[data]
+            one, which = distinct_chunks(low, starts, ends)
+            raw = low.tobytes()
             values = self.cache.many([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())])
             diff = np.frombuffer(b"".join(values), np.float64)[which]
         x = np.c_[features(diff, first), np.ones(len(offsets) - 1)]
@@ -260,27 +241,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with a score column for every whole text; all other columns stay."""
+    """docs with a score column for every whole text; all other columns stay, one named like the score is replaced."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     order = docs.columns
     at = order.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            data, offsets = utf8_column(b.column(at).cast(pa.string()))
-            out = [m.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.empty(0))], names=[*order, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_scores(shared.value, b.column(at)))], names=[*order, name])
 
-    from pyspark.sql.types import DoubleType, StructType
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(name, DoubleType()))
 
-    schema = StructType([f for f in docs.schema.fields]).add(name, DoubleType())
-    return docs.mapInArrow(run, schema)
+
+def _scores(model: Model, column: pa.Array) -> np.ndarray:
+    data, offsets = utf8_column(column.cast(pa.string()))
+    out = [model.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]
+    return np.concatenate(out) if out else np.empty(0)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs whose score is below 0.5; all columns stay."""
-    return score(docs, train(docs, labels), name="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    """docs whose score is below 0.5; all columns stay, whatever their names. Every row is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_scores(shared.value, b.column(at)) < 0.5))
+
+    return docs.mapInArrow(run, StructType(docs.schema.fields))
 
 
 def held_out(doc_id):
