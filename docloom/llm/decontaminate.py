@@ -245,7 +245,8 @@ def contaminated():
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the rows that hold a benchmark passage; all columns stay.
 
-    A row goes if windows cover a twentieth of its words. Every row is judged by its own text. The postings serve once here,
+    A row goes if a full window of an item occurs in it, however long its text is, or if windows of shorter
+    items cover a twentieth of its words. Every row is judged by its own text. The postings serve once here,
     so a segment lives with its batch and neither texts nor decisions are shuffled.
     """
     pieces = pieces_of(benchmark, window)
@@ -256,8 +257,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             data, offsets = utf8_column(b.column(at).cast(pa.string()))
             for i, j in slices(offsets, SEGMENT_BYTES):
                 o = offsets[i : j + 1]
-                n_words, n_hit, _, _ = match(segment(data[o[0] : o[-1]], o - o[0]), _each(pieces), window)
-                yield b.slice(i, j - i).filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
+                n_words, n_hit, whole, _ = match(segment(data[o[0] : o[-1]], o - o[0]), _each(pieces), window)
+                yield b.slice(i, j - i).filter(pa.array(~(whole | ((n_hit > 0) & (20 * n_hit >= n_words)))))
 
     return docs.mapInArrow(run, StructType(docs.schema.fields))
 
