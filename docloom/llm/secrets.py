@@ -5,8 +5,9 @@ alphabet shares, entropy, character transitions, coverage by dictionary fragment
 under, and the words beside it; it is trained on a table of labelled findings (label, path, before, found,
 after), by default the made-up one below. Scanning and judging are DataFrame functions and the JVM forest.
 
-Edge rules: null text has no findings; every occurrence of a repeated secret is a finding, and so are those
-of repeated rows; a null path is empty; other columns are ignored. Offsets are in characters.
+Edge rules: null and empty texts have no findings; every occurrence of a repeated secret is a finding, and so
+are those of repeated rows; a null path is empty; very long texts and candidates are taken whole; an empty
+table gives no rows; other columns are ignored, whatever their names. Offsets are in characters.
 """
 
 from __future__ import annotations
@@ -63,19 +64,46 @@ def features(found: Column, before: Column, after: Column, path: Column) -> dict
     }
 
 
+def _starts(pieces: Column) -> Column:
+    """Where each piece begins: running sums of lengths, over runs of 256 pieces and then within each."""
+    long, none = F.lit(0).cast("bigint"), F.expr("cast(array() as array<bigint>)")
+
+    def running(sizes: Column, first: Column) -> Column:
+        start = F.struct(first.alias("total"), none.alias("at"))
+        return F.aggregate(sizes, start, lambda s, n: F.struct((s["total"] + n).alias("total"), F.array_append(s["at"], s["total"]).alias("at")))["at"]
+
+    sizes = F.transform(pieces, lambda p: F.length(p).cast("bigint"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / 256).cast("int")), lambda k: F.slice(sizes, k * 256 + 1, F.lit(256)))
+    sums = lambda r: F.transform(r, lambda x: F.aggregate(x, long, lambda s, n: s + n))
+    both = lambda r: F.arrays_zip(r.alias("sizes"), running(sums(r), long).alias("first"))
+    return F.flatten(F.transform(let(runs, both), lambda r: running(r["sizes"], r["first"])))
+
+
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """(doc_id, path, start, found, before, after): every candidate of every whole text, with 48 characters on each side."""
+    """(doc_id, path, start, found, before, after): every candidate of every whole text, with 48 characters on each side.
+
+    A text is cut where candidates begin; a candidate takes its run, its neighbours' 48 characters and its
+    place, and only these small rows are exploded.
+    """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
-    rows = docs.select("doc_id", where.alias("path"), F.split(F.col("text").cast("string"), _BEGIN).alias("pieces"))
+    rows = docs.select(F.col("doc_id"), where.alias("path"), F.split(F.col("text").cast("string"), _BEGIN).alias("pieces"))
+    rows = rows.where("pieces is not null").withColumn("starts", _starts(F.col("pieces")))
+
+    def cut(piece: Column, i: Column) -> Column:
+        found = F.regexp_extract(piece, rf"^[{RUN}]*+", 0)
+        left = F.when(i > 0, F.right(F.get("pieces", i - 1), F.lit(48))).otherwise(F.lit(""))
+        after = F.substring(piece, F.length(found) + 1, F.lit(48))
+        return F.struct(F.get("starts", i).alias("start"), found.alias("found"), left.alias("before"), after.alias("after"))
+
     # a piece begins with a candidate, but the first may not
-    begins = F.regexp_like(F.element_at("pieces", 1), F.lit(rf"^[{RUN}]{{16}}")) & F.regexp_like(F.element_at("pieces", 1), F.lit(r"^[A-Za-z_+/=-]*+[0-9]"))
-    rows = rows.withColumn("first", F.when(begins, 1).otherwise(2)).where(F.col("first") <= F.size("pieces"))
-    rows = rows.withColumn("i", F.explode(F.sequence(F.col("first"), F.size("pieces"))))
-    piece = F.element_at("pieces", F.col("i"))
-    start = F.aggregate(F.slice("pieces", F.lit(1), F.col("i") - 1), F.lit(0), lambda s, p: s + F.length(p))
-    left = F.when(F.col("i") > 1, F.expr("right(element_at(pieces, i - 1), 48)")).otherwise(F.lit(""))
-    rows = rows.select("doc_id", "path", start.cast("bigint").alias("start"), F.regexp_extract(piece, rf"^[{RUN}]*+", 0).alias("found"), left.alias("before"), piece.alias("piece"))
-    return rows.select("doc_id", "path", "start", "found", "before", F.substring(F.col("piece"), F.length("found") + 1, F.lit(48)).alias("after"))
+    begins = lambda p: F.regexp_like(p, F.lit(rf"^[{RUN}]{{16}}")) & F.regexp_like(p, F.lit(r"^[A-Za-z_+/=-]*+[0-9]"))
+    made = F.filter(F.transform("pieces", lambda p, i: F.when((i > 0) | begins(p), cut(p, i))), lambda c: c.isNotNull())
+    return rows.select("doc_id", "path", F.explode(made).alias("c")).select("doc_id", "path", "c.*")
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def labelled_findings(spark: SparkSession, n: int = 240, seed: int = 1) -> DataFrame:
