@@ -195,7 +195,8 @@ def test_chat(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "system", "to>ol", "assistant"]), "".join(rng.choice(bits) for _ in range(rng.randrange(8)))) for c in range(40) for t in range(rng.randrange(1, 9))]
     rows += [(99, 0, None, None), (99, 1, "assistant", None), (None, 0, "user", "x")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, example int")
-    got = {r["conv_id"]: r for r in chat.digests(chat.expand(df)).collect()}
+    written = chat.materialize(chat.expand(df))
+    got = {r["conv_id"]: r for r in chat.digests(written).collect()}
     by = defaultdict(list)
     for c, t, role, text in rows:
         by[c].append((t, role or "", text or ""))
@@ -205,11 +206,25 @@ def test_chat(spark):
         reply = "".join(t for _, r, t in turns if r == "assistant")
         assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)))
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(reply), sha(reply))
-    full = chat.materialize(chat.expand(df)).where("conv_id = 99").first()
-    assert full["text"].endswith(" </s>") and full["loss_chars"] == 0
-    texts = chat.materialize(chat.expand(df)).orderBy("conv_id", "example").collect()
-    assert len(texts) == sum(r == "assistant" for _, _, r, _ in rows)
-    assert chat.digests(chat.expand(df.where("false"))).count() == 0
+    mark = lambda r, t: {"user": f"[INST] {t} [/INST]", "assistant": f" {t}</s>", "system": f"<<SYS>> {t} <</SYS>>"}.get(r)
+    esc = lambda t: re.sub(r"([\\<\[\]>])", r"\\\1", t)
+    texts = defaultdict(list)
+    for r in written.orderBy("conv_id", "example").collect():
+        texts[r["conv_id"]].append(r)
+    for c, turns in by.items():
+        want, said = [], ""
+        for _, role, t in sorted(turns):
+            said += mark(role, esc(t)) or f"<<ROLE {esc(role)}>> {esc(t)} <</ROLE>>"
+            if role == "assistant":
+                want.append((said, esc(t)))
+        # every example is all preceding turns and its reply; turns without a reply end in a row of their own
+        assert [(r["text"], r["text"][r["loss_start"] : r["loss_start"] + r["loss_chars"]]) for r in texts[c] if r["loss_chars"] is not None] == want
+        rest = [r["text"] for r in texts[c] if r["loss_chars"] is None]
+        assert rest == ([said] if not want or want[-1][0] != said else [])
+        assert got[c]["formatted_chars"] == sum(len(x) for x, _ in want) + sum(map(len, rest))
+    broken = written.withColumn("text", F.when((F.col("conv_id") == 1) & (F.col("example") == 0), "[INST] other [/INST]").otherwise(F.col("text")))
+    assert len(texts[1]) > 1 and chat.digests(broken).where("conv_id = 1").first()["turns_sha256"] is None
+    assert chat.digests(chat.materialize(chat.expand(df.where("false")))).count() == 0
 
 
 def test_toxicity(spark):
