@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -201,6 +202,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- graphs
 
+def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Parent of each of n rows after joining the pairs: the first row of its group."""
+    parent = np.arange(n)
+    for i, j in pairs:
+        a, b = parent[i], parent[j]
+        while (a != b).any():
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            a, b = parent[a], parent[b]
+    return parent
+
+
 def components(edges: DataFrame, partitions: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (a, b); ids are bigint.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, read, stored, utf8_column
+from .common import components, forest, read, stored, utf8_column
 
 SHINGLE = 3
 SEED = 42
@@ -125,19 +125,6 @@ def _close(fp: np.ndarray, last: np.ndarray, other: np.ndarray, radius: int) ->
                 yield i, i + d
 
 
-def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Parent of each of n rows after joining the pairs: the first row of its group."""
-    parent = np.arange(n)
-    for i, j in pairs:
-        a, b = parent[i], parent[j]
-        while (a != b).any():
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-            a, b = parent[a], parent[b]
-    return parent
-
-
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a spanning forest of each bucket; rows come sorted by (key, part pair)."""
     held: list[np.ndarray] = []
@@ -150,7 +137,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alike = (group >> 32) == (group & 0xFFFFFFFF)
         other = np.where(alike, -1 - np.arange(len(key)), part)
         fp = fp.view(np.uint64)
-        parent = _forest(_close(fp, last, other, RADIUS), len(fp))
+        parent = forest(_close(fp, last, other, RADIUS), len(fp))
         i = np.flatnonzero(parent != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[parent[i]].view(np.int64))], names=["a", "b"])
 

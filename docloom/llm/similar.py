@@ -5,9 +5,10 @@ words is a single run. Equal sets are folded first, so a group of exact copies i
 compared. Candidates share one of BANDS keys of ROWS minimum hashes each: a pair of similarity 0.8 meets in none
 with a chance of 3e-6, a more similar one with less. Every link is verified on the whole sets, exactly.
 
-In each bucket all rows are verified against its least one; then, of the rows that are still in different
-components, every pair that shares a bucket and whose sizes allow the similarity is verified too. So the
-components are those of all similar candidate pairs, and a large group of near copies is not paired with itself.
+In each bucket all rows are verified against its least one. Then, of a bucket whose rows are still in different
+components, all rows of different components are compared: the bucket's sets, cut into parts of bounded size,
+meet in one task, which emits a forest of the links it finds and never the pairs. So the components are those
+of all similar candidate pairs, also in a large group of near copies of which many are just not similar.
 
 Rows are told apart by a number of their own, so of one doc_id with several texts each is judged by its text.
 A set is named by 128 bits of its hashes; words, and so shingles, are compared by 64-bit hashes.
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import LOWER, components, hash_chunks, mix, ragged, slices, stored, utf8_column, word_spans
+from .common import LOWER, components, forest, hash_chunks, mix, ragged, slices, stored, utf8_column, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
+#: Shingles and rows of a bucket's part, about; parts meet in pairs.
+PART, PART_ROWS = 1 << 20, 8192
 
 _SEEN = np.ones(256, bool)
 _SEEN[[9, 10, 11, 12, 13, 32]] = False
@@ -134,16 +137,69 @@ def links(drawn: DataFrame, classes: DataFrame) -> DataFrame:
     rows = stored(one.select("row", "n", F.explode("bands").alias("band")))
     shared = stored(rows.groupBy("band").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least <> most").select("band", "least"))
     met = stored(rows.join(shared, "band").select("band", "row", "n", "least").distinct())
-    fits = lambda x, y: F.least(x, y) >= F.lit(SIMILARITY) * F.greatest(x, y)
     star = stored(_verified(met.where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b")).distinct(), drawn))
     comp = components(star)
-    placed = met.join(comp, met["row"] == comp["node"], "left").select("band", "row", "n", F.coalesce("component", "row").alias("comp"))
-    placed = stored(placed)
-    mixed = stored(placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band"))
-    left = stored(placed.join(mixed, "band"))
-    other = left.select("band", F.col("row").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    rest = left.withColumnRenamed("row", "a").join(other, "band").where("a < b and comp <> other").where(fits(F.col("n"), F.col("m")))
-    return star.unionByName(_verified(rest.select("a", "b").distinct(), drawn))
+    placed = stored(met.join(comp, met["row"] == comp["node"], "left").select("band", "row", "n", F.coalesce("component", "row").alias("comp")))
+    size = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("all"), F.count("*").alias("rows"))
+    parts = F.ceil(F.greatest(F.col("all") / PART, F.col("rows") / PART_ROWS)).cast("bigint")
+    mixed = stored(size.where("low <> high").select("band", parts.alias("parts")))
+    left = stored(placed.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))))
+    found = stored(sets(drawn.select("row", F.col("doc.text").cast("string").alias("text")).join(left.select("row").distinct(), "row", "left_semi")))
+    # a pair of parts (low, high) is one group; a bucket of one part is the group (0, 0)
+    groups = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.shiftleft(F.least(j, F.col("part")), 32).bitwiseOR(F.greatest(j, F.col("part"))))
+    sent = left.select("band", F.explode(groups).alias("grp"), "part", "comp", "row").join(found, "row").select("band", "grp", "part", "comp", "row", "shingles")
+    return star.unionByName(sent.repartition("band", "grp").sortWithinPartitions("band", "grp").mapInArrow(_compare, "a bigint, b bigint"))
+
+
+def linked(ids: np.ndarray, at: np.ndarray, comp: np.ndarray, part: np.ndarray, alike: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of similar sets of different components; set i holds the numbers ids[at[i]:at[i + 1]], each once.
+
+    alike: all sets meet each other; else only those of different parts do.
+    """
+    n = np.diff(at)
+    mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    for i in range(len(n)):
+        fits = (comp != comp[i]) & (np.minimum(n, n[i]) >= SIMILARITY * np.maximum(n, n[i]))
+        fits[: i + 1] = False
+        if not alike:
+            fits &= part != part[i]
+        if fits.any():
+            mark[ids[at[i] : at[i + 1]]] = True
+            common = np.add.reduceat(mark[ids[at[i] :]], at[i:-1] - at[i], dtype=np.int64)
+            mark[ids[at[i] : at[i + 1]]] = False
+            near = np.flatnonzero(fits[i:] & (common >= SIMILARITY * (n[i:] + n[i] - common))) + i
+            if len(near):
+                yield np.full(len(near), i), near
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, grp, part, comp, row, shingles) sorted by (band, grp): forests of the groups' links."""
+    held: list[pa.Table] = []
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        part, comp, row = (t.column(c).to_numpy() for c in ("part", "comp", "row"))
+        shingles = t.column("shingles").combine_chunks()
+        at = np.concatenate([[0], np.cumsum(shingles.value_lengths().to_numpy())]).astype(np.int64)
+        _, ids = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+        grp = int(t.column("grp")[0].as_py())
+        parent = forest(linked(ids, at, comp, part, grp >> 32 == grp & 0xFFFFFFFF), len(row))
+        i = np.flatnonzero(parent != np.arange(len(row)))
+        return pa.RecordBatch.from_arrays([pa.array(row[i]), pa.array(row[parent[i]])], names=["a", "b"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(pa.Table.from_batches([b]))
+        ends = [(held[0].column("band")[0], held[0].column("grp")[0]), (b.column(0)[-1], b.column(1)[-1])]
+        if ends[0] != ends[1]:
+            t = pa.concat_tables(held)
+            band, grp = t.column("band").to_numpy(), t.column("grp").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((band[1:] != band[:-1]) | (grp[1:] != grp[:-1])) + 1]).tolist()
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                yield done(t.slice(s, e - s))
+            held = [t.slice(cuts[-1])]
+    if held:
+        yield done(pa.concat_tables(held))
 
 
 def _placed(drawn: DataFrame) -> DataFrame:

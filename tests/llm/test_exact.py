@@ -222,4 +222,4 @@ def test_pipeline_against_brute_force(spark):
     bench = [(r["item_id"], r["text"]) for r in common.read(spark, sf, "benchmark").collect()]
     assert left == {d for d, _, hit, _ in brute_hits(docs, bench) if not hit} and 20_002 not in left
     masked = {r["doc_id"]: r["text"] for r in p.mask_personal_data(spark, df, sf).collect()}
-    assert all(masked[i] == t for i, t in docs if not re.search(r"\d", t.replace("w", "")) or "@" not in t and "+" not in t)
+    assert all(masked[i] == t for i, t in docs if i < 20_000)

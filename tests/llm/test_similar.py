@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from test_ops import SCHEMA, union, words
 
 from docloom.llm import similar
@@ -36,6 +37,22 @@ def test_similar(spark):
     assert similar.deduplicate(df.where("false")).count() == 0
 
 
+def test_similar_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PART", 200)
+    test_similar(spark)
+
+
+def test_linked_against_brute_force():
+    rng = np.random.default_rng(13)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(1, 12))) for _ in range(60)]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    comp, part = rng.integers(0, 9, 60), rng.integers(0, 2, 60)
+    similarity = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    for alike in (True, False):
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if comp[i] != comp[j] and (alike or part[i] != part[j]) and similarity(sets[i], sets[j]) >= 0.8}
+        assert {(i, j) for u, v in similar.linked(np.concatenate(sets), at, comp, part, alike) for i, j in zip(u.tolist(), v.tolist())} == want and want
+
+
 def test_pipeline_stage_drops_edited_copies(spark):
     import corpus_pipeline
 
