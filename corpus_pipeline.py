@@ -23,7 +23,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark passages go."""
+    """Documents that hold a benchmark passage go, however long they are."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import let
 
 # The entity classes' formats.
-DURATION = r"(?i)\b(\d+(?:\.\d+)?)\s*(business\s+days?|days?|months?|years?|weeks?|hours?|minutes?|seconds?|secs?)\b"
+DURATION = r"(?i)\b(\d+(?:\.\d+)?)\s*(days?|months?|years?|weeks?|hours?|minutes?|secs?|seconds?|business\s+days?)\b"
 CURRENCY = r"(?i)(?:([$€£¥₹])\s*(\d+(?:,\d{3})*(?:\.\d+)?)|(?:USD|EUR|GBP|INR|dollars?|cents?)\s*(\d+(?:,\d{3})*(?:\.\d+)?)|(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:USD|EUR|GBP|INR|dollars?|cents?))\b"
 PERCENT = r"\b(\d+(?:\.\d+)?)\s*%"
 VERSION = r"(?i)\bv?(\d+(?:\.\d+)+(?:-[a-z0-9]+)?)\b"

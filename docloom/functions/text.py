@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,14 +142,20 @@ def citation_ids(text: Column) -> Column:
 
 
 def escape_xml(text: Column) -> Column:
-    """TXT-13: & < > and CDATA ends."""
-    out = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return out
+    """TXT-13: & < >, and with these every CDATA mark."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+# Marks that evidence must not open or close.
+EVIDENCE_MARKS = ("<evidence", "</evidence>", "<system_instructions>", "</system_instructions>", "<![CDATA[", "]]>")
 
 
 def escape_evidence(text: Column) -> Column:
-    """TXT-13: only evidence tags are escaped."""
-    return F.regexp_replace(text, r"(?i)<(/?evidence)", "&lt;$1")
+    """TXT-13: & and the marks of EVIDENCE_MARKS; other tags stay."""
+    out = F.replace(text, F.lit("&"), F.lit("&amp;"))
+    for mark in EVIDENCE_MARKS:
+        out = F.replace(out, F.lit(mark), F.lit(mark.replace("<", "&lt;").replace(">", "&gt;")))
+    return out
 
 
 def query_fingerprint(query: Column) -> Column:
@@ -161,7 +171,7 @@ def redact(text: Column) -> Column:
 
 
 def is_sensitive(key: Column, keys: tuple = SENSITIVE) -> Column:
-    return F.lower(key).rlike("|".join(keys))
+    return F.replace(F.lower(key), F.lit("-"), F.lit("_")).rlike("|".join(keys))
 
 
 def redact_map(data: Column, keys: tuple = SENSITIVE) -> Column:
@@ -169,6 +179,39 @@ def redact_map(data: Column, keys: tuple = SENSITIVE) -> Column:
     return F.transform_values(data, lambda k, v: F.when(is_sensitive(k, keys), F.lit(REDACTED)).otherwise(redact(v)))
 
 
+def redact_json(data: Column, keys: tuple = SENSITIVE, depth: int = 15, arrays: bool = True) -> Column:
+    """TXT-16/23: JSON of any shape: values of sensitive keys are hidden, other strings cleaned, deeper levels cut.
+
+    arrays=False leaves arrays as they are, as a viewer does. Text that is no JSON is cleaned as a string.
+    """
+    bearer, jwt = re.compile(r"Bearer\s+[A-Za-z0-9\-_.]+", re.I), re.compile(r"eyJ[A-Za-z0-9\-_]+\.eyJ[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+")
+
+    def clean(value, level: int):
+        if level > depth:
+            return "[TRUNCATED: MAX_DEPTH]"
+        if isinstance(value, str):
+            return jwt.sub("[REDACTED_JWT]", bearer.sub("Bearer " + REDACTED, value))
+        if isinstance(value, dict):
+            return {k: REDACTED if any(x in k.lower().replace("-", "_") for x in keys) else clean(v, level + 1) for k, v in value.items()}
+        if isinstance(value, list) and arrays:
+            return [clean(v, level + 1) for v in value]
+        return value
+
+    def one(text):
+        if text is None:
+            return None
+        try:
+            return json.dumps(clean(json.loads(text), 0), ensure_ascii=False)
+        except ValueError:
+            return clean(text, 0)
+
+    @F.pandas_udf("string")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(one, na_action="ignore")
+
+    return run(data)
+
+
 def file_name(name: Column) -> Column:
     """TXT-17: the last path part, other characters than letters, digits, dot, dash and underscore replaced."""
     return F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"[^A-Za-z0-9._-]", "_")
@@ -184,6 +227,21 @@ def format_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.format_number(n / 1024, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(n / (1 << 20), 1), F.lit(" MB")))
 
 
+def format_latency(ms: Column) -> Column:
+    """TXT-20: milliseconds below a second, else seconds."""
+    return F.when(ms.isNull(), "0 ms").when(ms < 1000, F.format_string("%.1f ms", ms.cast("double"))).otherwise(F.format_string("%.2f s", ms / 1000))
+
+
+def format_percent(share: Column) -> Column:
+    """TXT-20."""
+    return F.when(share.isNull(), "0%").otherwise(F.format_string("%.1f%%", share * 100))
+
+
+def short_hash(value: Column, lead: int = 8, trail: int = 6) -> Column:
+    """TXT-20: the ends of a long hash."""
+    return F.when(value.isNull(), "").when(F.length(value) <= lead + trail, value).otherwise(F.concat(F.left(value, F.lit(lead)), F.lit("..."), F.right(value, F.lit(trail))))
+
+
 def first_sentence(text: Column) -> Column:
     """TXT-21."""
     return F.get(sentences_simple(text), F.lit(0))

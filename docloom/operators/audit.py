@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from docloom.operators.retrieval import role_clearance
+
 # Order of the hashed fields and the first link.
 FIELDS = ("event_id", "created_at", "request_id", "event_type", "severity", "user_id", "action", "resource_type", "resource_id", "authorization_result", "query_fingerprint")
 GENESIS = "GENESIS"
@@ -36,23 +41,49 @@ def event_hash(previous: Column) -> Column:
     return F.sha2(F.concat_ws("|", payload(), F.coalesce(F.nullif(previous, F.lit("")), F.lit(GENESIS))), 256)
 
 
-def chain(events: DataFrame, by: str = "user_id") -> DataFrame:
-    """AUD-03: previous and own hash of each row, a fold over each chain (each hash needs the one before)."""
-    rows = events.withColumn("payload", payload())
+def _in_order(rows: DataFrame, by: str, step: Callable, more: list[StructField]) -> DataFrame:
+    """rows in order of time within each `by`, folded row by row: a task carries one state, never a group.
+
+    step(state, row) of the state before (None at a chain's begin) and a row's (created_at, event_id, further
+    columns) gives the new state and the values of `more`.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last, begun = None, None, False
+        for b in batches:
+            made = []
+            for key, row in zip(b.column(names.index(by)).to_pylist(), b.to_pylist()):
+                if not begun or key != last:
+                    state, last, begun = None, key, True
+                state, values = step(state, row)
+                made.append(values)
+            new = [pa.array([m[i] for m in made], pa.bool_() if f.dataType == BooleanType() else pa.string()) for i, f in enumerate(more)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*names, *(f.name for f in more)])
+
+    ordered = rows.repartition(by).sortWithinPartitions(by, "created_at", "event_id")
+    return ordered.mapInArrow(run, StructType([*rows.schema.fields, *more]))
+
+
+def chain(events: DataFrame, by: str = "user_id", last: DataFrame | None = None) -> DataFrame:
+    """AUD-03, SNK-13: previous and own hash of each row, a fold over each chain (each hash needs the one before).
+
+    last(by, event_hash): the newest link of the chains that a stored log holds; they are continued.
+    """
+    rows = events.withColumn("_payload", payload())
+    rows = rows.withColumn("_last", F.lit(None).cast("string")) if last is None else rows.join(last.select(by, F.col("event_hash").alias("_last")), by, "left")
+
+    def step(previous, row):
+        previous = previous or row["_last"]
+        own = hashlib.sha256(f"{row['_payload']}|{previous or GENESIS}".encode()).hexdigest()
+        return own, (previous, own)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created_at", "event_id"])
-        prev, before, own = None, [], []
-        for p in pdf["payload"]:
-            before.append(prev)
-            prev = hashlib.sha256(f"{p}|{prev or GENESIS}".encode()).hexdigest()
-            own.append(prev)
-        return pdf.assign(previous_event_hash=before, event_hash=own)
+    return _in_order(rows, by, step, [StructField("previous_event_hash", StringType()), StructField("event_hash", StringType())]).drop("_payload", "_last")
 
-    from pyspark.sql.types import StringType, StructType
 
-    schema = StructType(list(rows.schema.fields)).add("previous_event_hash", StringType()).add("event_hash", StringType())
-    return rows.groupBy(by).applyInPandas(fold, schema).drop("payload")
+def newest(log: DataFrame, by: str = "user_id") -> DataFrame:
+    """SNK-13: (by, event_hash) of each chain's newest row, for chain()."""
+    return log.groupBy(by).agg(F.max_by("event_hash", F.struct("created_at", "event_id")).alias("event_hash"))
 
 
 def verify(log: DataFrame, by: str = "user_id") -> DataFrame:
@@ -73,18 +104,31 @@ def sliding(events: DataFrame, key: str = "user_id", minutes: int = 10, threshol
 
 def bursts(events: DataFrame, key: str = "user_id", minutes: int = 10, threshold: int = 5) -> DataFrame:
     """AUD-04: as sliding(), one alert a key and window: suppressed while an alert stands in the last `minutes`."""
+    over = sliding(events, key, minutes, threshold).select(key, "event_id", "created_at", "n")
+    span = timedelta(minutes=minutes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        span, last, keep = pd.Timedelta(minutes=minutes), None, []
-        pdf = pdf.sort_values(["created_at", "event_id"])
-        for t in pdf["created_at"]:
-            ok = last is None or t - last > span
-            last = t if ok else last
-            keep.append(ok)
-        return pdf[keep]
+    def step(alert, row):
+        fresh = alert is None or row["created_at"] - alert > span
+        return (row["created_at"] if fresh else alert), (fresh,)
 
-    over = sliding(events, key, minutes, threshold).select(key, "event_id", "created_at", "n")
-    return over.groupBy(key).applyInPandas(fold, over.schema)
+    return _in_order(over, key, step, [StructField("_alert", BooleanType())]).where("_alert").drop("_alert")
+
+
+def identity(events: DataFrame, *columns: str) -> DataFrame:
+    """AUD-04/05: events with a column identity, the first of the columns (user, e-mail, address) that is set; without any, no alert can name it."""
+    return events.withColumn("identity", F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in columns])).where("identity is not null")
+
+
+def principals(events: DataFrame, users: DataFrame) -> DataFrame:
+    """AUD-06, JON-14: events with the actor's email, department, roles and clearance of users(user_id, email, department, roles).
+
+    A known user without roles is an employee; an unknown one has none and no clearance.
+    """
+    out = events.join(users.select("user_id", "email", "department", "roles", F.lit(True).alias("_known")), "user_id", "left")
+    none = F.expr("cast(array() as array<string>)")
+    roles = F.when(F.col("_known"), F.when(F.size(F.coalesce("roles", none)) == 0, F.array(F.lit("Employee"))).otherwise(F.col("roles"))).otherwise(none)
+    out = out.withColumn("roles", roles)
+    return out.withColumn("clearance", F.when(F.col("_known"), role_clearance(F.col("roles")))).drop("_known")
 
 
 def statistics(events: DataFrame) -> DataFrame:

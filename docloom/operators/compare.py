@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -150,19 +151,22 @@ def method(m: Column) -> Column:
 
 def greedy(pairs: DataFrame) -> DataFrame:
     """JON-07: one-to-one matching, best score first (ties: lower ia, then ib), as a fold over each document pair's accepted pairs."""
-    row = F.struct((-F.col("score")).alias("key"), "ia", "ib", "head", "lex", "sem", "score", "method")
-    rows = pairs.groupBy("pair_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    none = F.expr("cast(array() as array<int>)")
-    start = F.struct(none.alias("ua"), none.alias("ub"))
+    rows = pairs.select("pair_id", "ia", "ib", "head", "lex", "sem", "score", "method")
 
-    # used clauses grow by one pair a step; a pair of two unused ones is taken
-    def step(acc: Column, x: Column) -> Column:
-        taken = F.array_contains(acc["ua"], x["ia"]) | F.array_contains(acc["ub"], x["ib"])
-        return F.when(taken, acc).otherwise(F.struct(F.array_append(acc["ua"], x["ia"]).alias("ua"), F.array_append(acc["ub"], x["ib"]).alias("ub")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used_a, used_b = None, set(), set()
+        for b in batches:
+            keep = []
+            for p, i, j in zip(*(b.column(c).to_pylist() for c in range(3))):
+                if p != now:
+                    now, used_a, used_b = p, set(), set()
+                keep.append(i not in used_a and j not in used_b)
+                if keep[-1]:
+                    used_a.add(i)
+                    used_b.add(j)
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    used = rows.withColumn("used", F.aggregate("all", start, step)).withColumn("used", F.arrays_zip(F.col("used.ua").alias("ia"), F.col("used.ub").alias("ib")))
-    kept = used.select("pair_id", F.explode(F.filter("all", lambda x: F.array_contains(F.col("used"), F.struct(x["ia"].alias("ia"), x["ib"].alias("ib"))))).alias("x"))
-    return kept.select("pair_id", *[f"x.{c}" for c in ("ia", "ib", "head", "lex", "sem", "score", "method")])
+    return rows.repartition("pair_id").sortWithinPartitions("pair_id", F.desc("score"), "ia", "ib").mapInArrow(run, rows.schema)
 
 
 def align(clauses: DataFrame, vec: str | None = None) -> DataFrame:
@@ -200,6 +204,27 @@ def statistics(rows: DataFrame) -> DataFrame:
 
 
 def compare(docs: DataFrame, conflicts_only: bool = False) -> DataFrame:
-    """CMP-14: classified rows of docs(pair_id, side, text); both sides must be given."""
-    rows = classify(align(extract(docs)))
+    """CMP-14: classified rows of docs(pair_id, side, text); pairs with a missing or blank side give none, see problems()."""
+    rows = classify(align(extract(docs.join(problems(docs), "pair_id", "left_anti"))))
     return rows.where("diff_type = 'conflict'") if conflicts_only else rows
+
+
+def problems(docs: DataFrame) -> DataFrame:
+    """CMP-14: (pair_id, error) of the pairs that cannot be compared: both sides must have text."""
+    has = lambda side: F.coalesce(F.max((F.col("side") == side) & (F.trim(F.coalesce("text", F.lit(""))) != "")), F.lit(False))
+    sides = docs.groupBy(F.col("pair_id").cast("string").alias("pair_id")).agg(has("a").alias("a"), has("b").alias("b"))
+    lost = F.concat_ws(", ", F.when(~F.col("a"), "document a has no text"), F.when(~F.col("b"), "document b has no text"))
+    return sides.select("pair_id", lost.alias("error")).where("error <> ''")
+
+
+def summary(stats: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """CMP-13/14: statistics() with titles and the executive summary; titles(pair_id, title_a, title_b), by default Document A and B."""
+    rows = stats.withColumns({"title_a": F.lit("Document A"), "title_b": F.lit("Document B")}) if titles is None else (
+        stats.join(titles, "pair_id", "left").withColumns({"title_a": F.coalesce("title_a", F.lit("Document A")), "title_b": F.coalesce("title_b", F.lit("Document B"))})
+    )
+    same = F.format_string("Documents '%s' and '%s' are identical across all %d clauses (0.0 divergence).", "title_a", "title_b", "n_a")
+    found = F.format_string(
+        "Comparison between '%s' and '%s' identified %d policy conflicts, %d modified clauses, %d additions, and %d removals (Divergence Index: %.2f).",
+        "title_a", "title_b", "conflict", "modified", "added", "removed", "divergence",
+    )
+    return rows.withColumn("summary", F.when(F.col("divergence") == 0, same).otherwise(found))

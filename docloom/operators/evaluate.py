@@ -86,10 +86,54 @@ def grid_search(merged: DataFrame, truth: DataFrame, configs: DataFrame, intents
     return out.withColumn("place", F.row_number().over(best))
 
 
+def baselines(merged: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
+    """AGG-10: macro metrics of the four plain strategies over one fused pool (as in grid_search)."""
+    from docloom.operators import retrieval as R
+
+    runs = {
+        "dense_only": R.rrf(merged.where("dense_rank is not null"), k, dense_weight=1.0, sparse_weight=0.0), "sparse_only": R.rrf(merged.where("sparse_rank is not null"), k, dense_weight=0.0, sparse_weight=1.0),
+        "default_rrf": R.rrf(merged, k), "default_weighted_score": R.weighted(merged, k),
+    }
+    out = None
+    for name, hits in runs.items():
+        one = macro(metrics(hits.select("query_id", "chunk_id", "rank"), truth, k)).withColumn("strategy", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("objective", objective())
+
+
+def decide(tuned: DataFrame, default: DataFrame) -> DataFrame:
+    """AGG-10: one row from macro metrics on the validation set: the tuned configuration is kept if its recall is no lower."""
+    both = tuned.select(F.col("recall").alias("tuned_recall")).join(F.broadcast(default.select(F.col("recall").alias("default_recall"))))  # one row each
+    return both.withColumn("decision", F.when(F.col("tuned_recall") >= F.col("default_recall"), "tuned configuration confirmed").otherwise("default configuration retained"))
+
+
+#: A quantile's rank is first bracketed to this share of a group on each side.
+BRACKET = 0.002
+
+
 def latency(rows: DataFrame, *by: str) -> DataFrame:
-    """AGG-11: mean, median, and p95/p99 as the sorted value at index floor(n p); rows(ms)."""
-    w = Window.partitionBy(*by).orderBy("ms")
-    n = F.count("*").over(Window.partitionBy(*by))
-    at = rows.withColumn("i", F.row_number().over(w) - 1).withColumn("n", n)
-    pick = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * p), F.col("ms")))
-    return at.groupBy(*by).agg(F.round(F.avg("ms"), 6).alias("mean"), F.round(F.percentile("ms", 0.5), 6).alias("median"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
+    """AGG-11: mean, median, and p95/p99 as the sorted value at index floor(n p); rows(ms).
+
+    A sketch of each group brackets every wanted rank; only the values inside the brackets are counted and
+    ranked, each distinct value once, so that no task sorts a group.
+    """
+    if not by:
+        return latency(rows.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    rows = rows.where("ms is not null")
+    share = (0.5, 0.95, 0.99)
+    ends = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in share for d in (-BRACKET, BRACKET)])
+    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ms").alias("mean"), F.percentile_approx("ms", ends, F.lit(10000)).alias("ends"))
+    n = F.col("n")
+    # the median is between two ranks where n is even
+    ranks = [F.floor((n - 1) / 2), F.floor(n / 2), F.floor(n * 0.95), F.floor(n * 0.99)]
+    wanted = [F.struct(F.lit(i).alias("i"), F.least(r, n - 1).alias("at"), F.get("ends", F.lit(2 * k)).alias("low"), F.get("ends", F.lit(2 * k + 1)).alias("high")) for i, (r, k) in enumerate(zip(ranks, (0, 0, 1, 2)))]
+    asked = stats.select(*by, "n", "mean", F.explode(F.array(*wanted)).alias("w")).select(*by, "n", "mean", "w.*")
+    values = rows.groupBy(*by, "ms").agg(F.count("*").alias("m"))
+    met = values.join(asked.select(*by, "i", "at", "low", "high"), list(by)).where("ms <= high")
+    below = met.where("ms < low").groupBy(*by, "i").agg(F.sum("m").alias("below"))
+    w = Window.partitionBy(*by, "i").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
+    inside = met.where("ms >= low").withColumn("upto", F.sum("m").over(w)).join(below, [*by, "i"], "left").withColumn("upto", F.col("upto") + F.coalesce("below", F.lit(0)))
+    got = inside.where("upto > at").groupBy(*by, "i").agg(F.min("ms").alias("v"))
+    pick = lambda i: F.max(F.when(F.col("i") == i, F.col("v")))
+    found = got.groupBy(*by).agg(((pick(0) + pick(1)) / 2).alias("median"), pick(2).alias("p95"), pick(3).alias("p99"))
+    return stats.join(found, list(by)).select(*by, F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "p95", "p99")

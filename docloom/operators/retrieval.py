@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
+from docloom.sources import store
 
 K1, B = 1.5, 0.75
 RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 60, 0.6, 0.4
 #: A side is broadcast by hand only if its plan's size is known and at most this; else AQE decides.
 BROADCAST_BYTES = 32 << 20
+#: A batch of queries of up to so many numbers (terms, or vector components) is broadcast in blocks of BLOCK
+#: weights; a larger batch is joined.
+QUERY_NUMBERS, BLOCK = 4_000_000, 4_000_000
+#: Ids of a document's line chunks: no text has as many lines.
+LINES = 1 << 31
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -23,7 +36,7 @@ def small(df: DataFrame) -> DataFrame:
 def line_chunks(docs: DataFrame) -> DataFrame:
     """Chunks of one line each, with ids, department and clearance."""
     return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "content")).select(
-        "doc_id", (F.col("doc_id") * 100000 + F.col("pos")).alias("chunk_id"), "pos", "content", F.col("source").alias("department"), (F.col("doc_id") % 4 + 1).cast("int").alias("clearance")
+        "doc_id", (F.col("doc_id") * LINES + F.col("pos")).alias("chunk_id"), "pos", "content", F.col("source").alias("department"), (F.col("doc_id") % 4 + 1).cast("int").alias("clearance")
     )
 
 
@@ -42,24 +55,134 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, keep: DataFrame | None = None) -> DataFrame:
-    """RNK-01: (query_id, chunk_id, score, rank), the k best of each query.
+@dataclass
+class Index:
+    """A sparse index: tokens(chunk_id, tokens) of each chunk, vocabulary(term, df), stats (n, total, avgdl), one row."""
+
+    tokens: DataFrame
+    vocabulary: DataFrame
+    stats: DataFrame
+
+    @staticmethod
+    def of(chunks: DataFrame) -> "Index":
+        """The index of chunks(chunk_id, content), computed anew by each search."""
+        tokens = chunks.select("chunk_id", T.tokens(F.col("content")).alias("tokens"))
+        terms = tokens.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("term"))
+        return Index(tokens, terms.groupBy("term").agg(F.count("*").alias("df")), corpus_stats(tokens.select(F.size("tokens").alias("dl"))))
+
+    def save(self, path: str) -> None:
+        """SNK-07: tokenised once; the counts are taken from the stored tokens."""
+        spark = self.tokens.sparkSession
+        store.save(self.tokens, f"{path}/tokens")
+        tokens = store.load(spark, f"{path}/tokens")
+        terms = tokens.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("term"))
+        store.save(terms.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term"), f"{path}/vocabulary")
+        store.save(corpus_stats(tokens.select(F.size("tokens").alias("dl"))), f"{path}/stats")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Index | None":
+        """SRC-09: the index stored under path, None where a part is missing."""
+        parts = [store.load(spark, f"{path}/{name}") for name in ("tokens", "vocabulary", "stats")]
+        return None if any(p is None for p in parts) else Index(*parts)
+
 
-    Statistics are the whole corpus's; `keep` (chunk_id) only restricts which chunks are scored. Only
-    postings of query terms are aggregated; a repeated query term scores repeatedly.
+def bm25(source: DataFrame | Index, queries: DataFrame, k: int, keep: DataFrame | None = None) -> DataFrame:
+    """RNK-01: (query_id, chunk_id, score, rank), the k best of each query over chunks or an index of them.
+
+    Statistics are the whole corpus's; `keep` (chunk_id) only restricts which chunks are scored. A repeated
+    query term scores repeatedly. Each task scores its chunks against blocks of queries as a matrix and sends
+    on only each query's k best; a batch of very many queries is joined with the postings instead.
     """
+    index = source if isinstance(source, Index) else Index.of(source)
     terms = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = small(terms.select("term").distinct())
-    tokens = chunks.select("chunk_id", T.tokens(F.col("content")).alias("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    tokens = index.tokens if keep is None else index.tokens.join(keep.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weighted = terms.join(index.vocabulary, "term").join(F.broadcast(index.stats)).select("query_id", "term", (F.col("qtf") * idf).alias("weight"), "avgdl")  # stats is one row
+    some = weighted.limit(QUERY_NUMBERS + 1).toArrow()  # at most QUERY_NUMBERS rows of two numbers and a word are used
+    if some.num_rows > QUERY_NUMBERS:
+        return _joined(tokens, weighted, k)
+    kind = [queries.schema["query_id"], tokens.schema["chunk_id"]]
+    schema = S.StructType([S.StructField("query_id", kind[0].dataType), S.StructField("chunk_id", kind[1].dataType), S.StructField("score", S.DoubleType())])
+    if not some.num_rows:
+        return top(tokens.sparkSession.createDataFrame([], schema), k)
+    known = pc.unique(some.column("term"))
+    ids = pc.unique(some.column("query_id"))
+    row, col = (np.asarray(pc.index_in(some.column(c), value_set=v)) for c, v in (("term", known), ("query_id", ids)))
+    weight, avgdl = some.column("weight").to_numpy(), some.column("avgdl")[0].as_py()
+    shared = tokens.sparkSession.sparkContext.broadcast((known, ids, row, col, weight))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids, row, col, weight = shared.value
+        blocks = []
+        width = max(1, BLOCK // len(known))
+        for a in range(0, len(ids), width):
+            pick = (col >= a) & (col < a + width)
+            w = np.zeros((len(known), min(width, len(ids) - a)))
+            w[row[pick], col[pick] - a] = weight[pick]
+            blocks.append((a, w))
+            if len(blocks) * w.size > 4 * BLOCK:
+                break
+        whole = sum(w.shape[1] for _, w in blocks) == len(ids)
+        for b in batches:
+            lists = b.column(1)
+            dl = np.asarray(pc.fill_null(lists.value_lengths(), 0)).astype(np.int64)
+            no = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            chunk = np.repeat(np.arange(len(dl)), dl)
+            hit = no >= 0
+            key, tf = np.unique(chunk[hit] * np.int64(len(known)) + no[hit], return_counts=True)
+            chunk, term = key // len(known), key % len(known)
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[chunk] / avgdl))
+            todo = blocks if whole else ((a, _dense_block(known, row, col, weight, a, min(width, len(ids) - a))) for a in range(0, len(ids), width))
+            for a, w in todo:
+                for rows, score in _scores(chunk, term, part, w):
+                    at, q, s = best(score, rows, b.column(0), k)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + a)), b.column(0).take(pa.array(at)), pa.array(s)], names=["query_id", "chunk_id", "score"])
+
+    return top(tokens.mapInArrow(run, schema), k)
+
+
+def _dense_block(known, row, col, weight, a: int, width: int) -> np.ndarray:
+    pick = (col >= a) & (col < a + width)
+    w = np.zeros((len(known), width))
+    w[row[pick], col[pick] - a] = weight[pick]
+    return w
+
+
+def _scores(chunk: np.ndarray, term: np.ndarray, part: np.ndarray, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(chunks, their scores against a block of queries) in pieces of bounded size; a chunk's postings stand together."""
+    new = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.empty(0, np.int64)
+    step, i = max(1, (BLOCK // 2) // w.shape[1]), 0
+    while i < len(new):
+        j = max(i + 1, int(np.searchsorted(new, new[i] + step)))
+        a, z = new[i], new[j] if j < len(new) else len(chunk)
+        yield chunk[new[i:j]], np.add.reduceat(w[term[a:z]] * part[a:z, None], new[i:j] - a, axis=0)
+        i = j
+
+
+def best(score: np.ndarray, rows: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, score) of the k best positive scores of each column, rounded; ties by the lower id."""
+    score = np.round(score, 6)
+    if len(score) > k:
+        least = np.partition(score, -k, axis=0)[-k]
+    else:
+        least = np.full(score.shape[1], -np.inf)
+    r, q = np.nonzero((score >= least) & (score > 0))
+    at, s = rows[r], score[r, q]
+    ident = np.asarray(ids)[at]
+    order = np.lexsort((ident, -s, q))
+    at, q, s = at[order], q[order], s[order]
+    first = np.searchsorted(q, q)
+    keep = np.arange(len(q)) - first < k
+    return at[keep], q[keep], s[keep]
+
+
+def _joined(tokens: DataFrame, weighted: DataFrame, k: int) -> DataFrame:
+    """bm25() for a batch of queries that no worker could hold: postings of the queries' terms joined with them."""
+    wanted = weighted.select("term").distinct()
     hits = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     hits = hits.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    if keep is not None:
-        hits = hits.join(keep.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = terms.join(df, "term").join(F.broadcast(stats))  # stats is one row
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     return top(scored.withColumn("score", F.round("score", 6)), k)
 
@@ -79,9 +202,42 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """RNK-02: exact cosine top k of queries(query_id, qvec) over vectors(chunk_id, vec)."""
-    pairs = vectors.join(small(queries.select("query_id", "qvec")))  # a stated query set against all rows
-    return top(pairs.select("query_id", "chunk_id", F.round(cosine(F.col("vec"), F.col("qvec")), 6).alias("score")), k)
+    """RNK-02: exact cosine top k of queries(query_id, qvec) over vectors(chunk_id, vec), in double precision.
+
+    A stated query set against all rows: each task multiplies its vectors with blocks of queries and sends on
+    only each query's k best. Vectors of another length than the query's, and null ones, are no hits; a zero
+    vector scores 0. A batch of queries beyond QUERY_NUMBERS components is joined instead.
+    """
+    asked = queries.select("query_id", "qvec")
+    size = asked.agg(F.coalesce(F.sum(F.size("qvec")), F.lit(0))).first()[0]
+    if size > QUERY_NUMBERS:
+        pairs = vectors.join(asked).where(F.size("vec") == F.size("qvec"))  # a stated query set against all rows
+        return top(pairs.select("query_id", "chunk_id", F.round(cosine(F.col("vec"), F.col("qvec")), 6).alias("score")), k)
+    got = asked.where("qvec is not null").toArrow()  # at most QUERY_NUMBERS components
+    ids, lists = got.column("query_id").combine_chunks(), got.column("qvec").to_pylist()
+    schema = S.StructType([S.StructField("query_id", queries.schema["query_id"].dataType), S.StructField("chunk_id", vectors.schema["chunk_id"].dataType), S.StructField("score", S.DoubleType())])
+    by = {n: [i for i, v in enumerate(lists) if len(v) == n] for n in {len(v) for v in lists}}
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, {n: (np.array(at), np.array([lists[i] for i in at], float).reshape(len(at), n)) for n, at in by.items()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        for b in batches:
+            size = np.asarray(pc.fill_null(b.column(1).value_lengths(), -1))
+            for n, (who, q) in queries.items():
+                at = np.flatnonzero(size == n)
+                if not len(at):
+                    continue
+                x = b.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n)
+                length = np.sqrt((x * x).sum(1))
+                for a in range(0, len(q), 1024):
+                    part = q[a : a + 1024]
+                    scale = length[:, None] * np.sqrt((part * part).sum(1))[None]
+                    score = np.where(scale > 0, x @ part.T / np.where(scale > 0, scale, 1), 0.0)
+                    # shifted above zero, as every row is a hit
+                    r, c, s = best(score + 2, at, b.column(0), k)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[c + a])), b.column(0).take(pa.array(r)), pa.array(np.round(s - 2, 6) + 0.0)], names=["query_id", "chunk_id", "score"])
+
+    return top(vectors.select("chunk_id", "vec").mapInArrow(run, schema), k)
 
 
 def merge(dense_hits: DataFrame, sparse_hits: DataFrame) -> DataFrame:
@@ -167,7 +323,7 @@ def intent(query: Column) -> Column:
     )
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 50, strategy: str = "rrf", tune: bool = True) -> DataFrame:
+def hybrid(chunks: DataFrame | Index, vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 50, strategy: str = "rrf", tune: bool = True) -> DataFrame:
     """RNK-09: both searches, intent weights and pool depth per query, fusion, explanation; queries(query_id, query, qvec)."""
     q = queries.withColumn("intent", intent(F.col("query")))
     depth = F.floor(F.lit(pool) * F.col("intent.pool")).cast("int") if tune else F.lit(pool)

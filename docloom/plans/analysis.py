@@ -10,7 +10,7 @@ from docloom.functions import text as T
 from docloom.operators import audit as A
 from docloom.operators import chunking, compare, evidence, structure
 from docloom.operators import retrieval as R
-from docloom.plans.search import chunks, items
+from docloom.plans.search import chunks, index, items
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -30,13 +30,14 @@ def query(sql: str | None = None):
 # Policy clauses are made from line items: version b shifts quantities and turns duties.
 DUTY = "CASE (l_linenumber + l_orderkey + {k}) % 4 WHEN 0 THEN 'must ' WHEN 1 THEN 'may ' WHEN 2 THEN 'is prohibited and ' ELSE 'is optional and ' END"
 CLAUSE = "'The buyer ' || {duty} || 'settle ' || CAST(CAST(l_quantity AS BIGINT) + {k} * (l_linenumber % 2) AS VARCHAR) || ' days after delivery for $' || CAST(CAST(round(l_extendedprice) AS BIGINT) AS VARCHAR) || ' less ' || CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || '% per Section ' || CAST(l_linenumber AS VARCHAR) || ' of lot ' || CAST(l_partkey AS VARCHAR) || '.'"
-# Line numbers repeat within an order; the first row of each stands for the clause.
-FIRST = "row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) = 1"
-LINES = f"li AS (SELECT l_orderkey, l_linenumber, {CLAUSE.format(k=0, duty=DUTY.format(k=0))} AS a, {CLAUSE.format(k=1, duty=DUTY.format(k=1))} AS b FROM lineitem QUALIFY {FIRST})"
+# Line numbers repeat within an order, so every row gets a clause number of its own.
+NUMBER = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount)"
+LINES = f"ln AS (SELECT l_orderkey, CAST({NUMBER} AS INTEGER) AS l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount FROM lineitem), li AS (SELECT l_orderkey, l_linenumber, {CLAUSE.format(k=0, duty=DUTY.format(k=0))} AS a, {CLAUSE.format(k=1, duty=DUTY.format(k=1))} AS b FROM ln)"
 
 
 def clauses(spark, sf) -> DataFrame:
-    line = table(spark, sf, "lineitem").withColumn("first", F.expr(FIRST)).where("first")
+    """Two versions of a clause for every line item."""
+    line = table(spark, sf, "lineitem").withColumn("l_linenumber", F.expr(NUMBER))
     text = lambda k: F.expr(CLAUSE.format(k=k, duty=DUTY.format(k=k)).replace("AS VARCHAR", "AS STRING"))
     return line.select("l_orderkey", "l_linenumber", text(0).alias("a"), text(1).alias("b"))
 
@@ -46,7 +47,7 @@ ENTITY = f"""e AS (SELECT l_orderkey, l_linenumber, side, type, raw, norm FROM (
  SELECT 'duration' AS type, dur AS raw, CASE WHEN regexp_extract(dur, '\\d+') = '1' THEN '1 day' ELSE regexp_extract(dur, '\\d+') || ' days' END AS norm UNION ALL SELECT 'currency', cur, 'USD ' || regexp_extract(cur, '\\d+') UNION ALL SELECT 'percentage', pct, pct UNION ALL SELECT 'clause_reference', ref, replace(lower(ref), ' ', '_')))"""
 NUMBERS = f"n AS (SELECT l_orderkey, l_linenumber, side, list_filter(regexp_extract_all(t, '{_N}'), lambda r: NOT list_contains([regexp_extract(t, '{_D}', 1), regexp_extract(t, '{_C}', 1), regexp_extract(t, '{_P}', 1)], r)) AS l FROM sides)"
 SIDES = "sides AS (SELECT l_orderkey, l_linenumber, 'a' AS side, a AS t FROM li UNION ALL SELECT l_orderkey, l_linenumber, 'b', b FROM li)"
-ALL = f"WITH {LINES}, {SIDES}, {ENTITY}, {NUMBERS}, al AS (SELECT l_orderkey, l_linenumber, side, type, 0 AS pos, raw, norm FROM e UNION ALL SELECT l_orderkey, l_linenumber, side, 'number', unnest(range(len(l))), unnest(l), unnest(l) FROM n)"
+ALL = f"WITH {LINES}, {SIDES}, {ENTITY}, {NUMBERS}, al AS (SELECT l_orderkey, l_linenumber, side, type, 0 AS pos, raw, norm FROM e UNION ALL SELECT l_orderkey, l_linenumber, side, 'number', unnest(range(len(l))), unnest(l), unnest(l) FROM n), pr AS (SELECT l_orderkey, l_linenumber, type, pos, max(norm) FILTER (side = 'a') AS norm_a, max(norm) FILTER (side = 'b') AS norm_b FROM al GROUP BY ALL)"
 
 
 @query(f"{ALL} SELECT l_orderkey, l_linenumber, type, CAST(pos AS INTEGER) AS pos, raw, norm FROM al WHERE side = 'a'")
@@ -56,7 +57,7 @@ def entity_extract(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "type", F.posexplode("found").alias("pos", "e")).select("l_orderkey", "l_linenumber", "type", "pos", "e.raw", "e.norm")
 
 
-@query(f"{ALL} SELECT l_orderkey, l_linenumber, type, CAST(pos AS INTEGER) AS pos, a.norm AS norm_a, b.norm AS norm_b, coalesce(a.norm <> b.norm, FALSE) AS divergent FROM (SELECT * FROM al WHERE side = 'a') a FULL JOIN (SELECT * FROM al WHERE side = 'b') b USING (l_orderkey, l_linenumber, type, pos)")
+@query(f"{ALL} SELECT l_orderkey, l_linenumber, type, CAST(pos AS INTEGER) AS pos, norm_a, norm_b, coalesce(norm_a <> norm_b, FALSE) AS divergent FROM pr")
 def entity_diff_positional(spark, sf):
     """CMP-08, JON-09."""
     rows = clauses(spark, sf).select("l_orderkey", "l_linenumber", F.explode(E.entity_diffs(E.entities(F.col("a")), E.entities(F.col("b")))).alias("d"))
@@ -85,7 +86,7 @@ def _aligned(spark, sf):
     return rows.select(F.col("l_orderkey").alias("pair_id"), "l_linenumber", F.col("a").alias("raw_a"), F.when(F.col("l_linenumber") % 5 != 0, F.col("b")).alias("raw_b"), F.lit(0.9).alias("lex"), F.lit(0.9).alias("score"))
 
 
-ROWS = f"""{ALL}, dv AS (SELECT l_orderkey, l_linenumber, bool_or(coalesce(a.norm <> b.norm, FALSE) AND type = 'duration') AS dur FROM (SELECT * FROM al WHERE side = 'a') a FULL JOIN (SELECT * FROM al WHERE side = 'b') b USING (l_orderkey, l_linenumber, type, pos) GROUP BY ALL),
+ROWS = f"""{ALL}, dv AS (SELECT l_orderkey, l_linenumber, bool_or(coalesce(norm_a <> norm_b, FALSE) AND type = 'duration') AS dur FROM pr GROUP BY ALL),
 k AS (SELECT li.l_orderkey AS pair_id, li.l_linenumber, a, b, CASE WHEN l_linenumber % 5 = 0 THEN 'removed' WHEN {POLARITY} IS NOT NULL OR dur THEN 'conflict' ELSE 'modified' END AS diff_type FROM li JOIN dv USING (l_orderkey, l_linenumber)),
 st AS (SELECT pair_id, count(*) AS n_a, count(*) FILTER (l_linenumber % 5 <> 0) AS n_b, 0 AS added, count(*) FILTER (diff_type = 'removed') AS removed, 0 AS unchanged, count(*) FILTER (diff_type = 'modified') AS modified, count(*) FILTER (diff_type = 'conflict') AS conflict FROM k GROUP BY pair_id)"""
 
@@ -175,7 +176,7 @@ def evidence_conflict(spark, sf):
 
 def _ranked(spark, sf) -> DataFrame:
     c = chunks(spark, sf)
-    hits = R.bm25(c, items(spark, sf), 25).withColumnRenamed("score", "fused")
+    hits = R.bm25(index(spark, sf), items(spark, sf), 25).withColumnRenamed("score", "fused")
     return hits.join(c.select("chunk_id", "doc_id", "department", "content"), "chunk_id").join(items(spark, sf), "query_id")
 
 

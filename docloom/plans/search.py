@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from docloom.functions import text as T
 from docloom.operators import evaluate as V
 from docloom.operators import retrieval as R
+from docloom.sources import store
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -26,7 +27,7 @@ def query(sql: str | None = None):
     return register
 
 
-CHUNKS = """c AS (SELECT doc_id, doc_id * 100000 + pos AS chunk_id, pos, content, source AS department, CAST(doc_id % 4 + 1 AS INTEGER) AS clearance
+CHUNKS = """c AS (SELECT doc_id, doc_id * 2147483648 + pos AS chunk_id, pos, content, source AS department, CAST(doc_id % 4 + 1 AS INTEGER) AS clearance
   FROM (SELECT doc_id, source, unnest(range(len(l))) AS pos, unnest(l) AS content FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)))"""
 TOKENS = f"{CHUNKS}, tk AS (SELECT chunk_id, doc_id, department, clearance, regexp_extract_all(lower(content), '{TOK}') AS t FROM c)"
 TF = f"{TOKENS}, tf AS (SELECT chunk_id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tk) GROUP BY chunk_id, term), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tk), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"
@@ -40,7 +41,7 @@ def _bm25(k: int, keep: str = "TRUE", name: str = "s") -> str:
 
 # Vectors stand beside chunks by position: chunk (vec_id, 0) has vector vec_id; queries are items with the vector of their number.
 def _dense(k: int) -> str:
-    return f"""dv AS (SELECT vec_id * 100000 AS chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), qv AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+    return f"""dv AS (SELECT vec_id * 2147483648 AS chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), qv AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
 d AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(list_cosine_similarity(v, q), 6) AS score FROM dv JOIN qv ON TRUE) QUALIFY rank <= {k})"""
 
 
@@ -52,12 +53,25 @@ def chunks(spark, sf) -> DataFrame:
     return R.line_chunks(table(spark, sf, "documents"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def index(spark, sf) -> R.Index:
+    """SNK-07, SRC-09/10: the line chunks' sparse index, stored once a session in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = store.fresh(spark)
+        R.Index.of(chunks(spark, sf)).save(path)
+        _STORED[key] = path
+    return R.Index.load(spark, _STORED[key])
+
+
 def items(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def vectors(spark, sf) -> DataFrame:
-    return table(spark, sf, "embeddings").select((F.col("vec_id") * 100000).alias("chunk_id"), F.col("embedding").alias("vec"))
+    return table(spark, sf, "embeddings").select((F.col("vec_id") * R.LINES).alias("chunk_id"), F.col("embedding").alias("vec"))
 
 
 def item_vectors(spark, sf) -> DataFrame:
@@ -66,13 +80,13 @@ def item_vectors(spark, sf) -> DataFrame:
 
 
 def both(spark, sf, k: int = 50) -> tuple[DataFrame, DataFrame]:
-    return R.dense(vectors(spark, sf), item_vectors(spark, sf), k), R.bm25(chunks(spark, sf), items(spark, sf), k)
+    return R.dense(vectors(spark, sf), item_vectors(spark, sf), k), R.bm25(index(spark, sf), items(spark, sf), k)
 
 
 @query(f"WITH {TF}, {_bm25(10)} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM s")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """RNK-01, JON-01..03."""
-    return R.bm25(chunks(spark, sf), items(spark, sf), 10)
+    return R.bm25(index(spark, sf), items(spark, sf), 10)
 
 
 KEEP = "chunk_id IN (SELECT chunk_id FROM c WHERE clearance <= 2 AND department IN ('src0', 'src1'))"
@@ -82,7 +96,7 @@ KEEP = "chunk_id IN (SELECT chunk_id FROM c WHERE clearance <= 2 AND department
 def bm25_filtered_global_stats(spark, sf):
     """FLT-01: access filters restrict scoring, not statistics."""
     c = chunks(spark, sf)
-    return R.bm25(c, items(spark, sf), 10, R.allowed(c, ["src0", "src1"], clearance=2))
+    return R.bm25(index(spark, sf), items(spark, sf), 10, R.allowed(c, ["src0", "src1"], clearance=2))
 
 
 @query(f"WITH {TOKENS} SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS total, round(avg(len(t)), 6) AS avgdl FROM tk")
@@ -156,7 +170,7 @@ f AS (SELECT m.*, round(coalesce((CASE kind WHEN 'exact_identifier' THEN 0.25 WH
 SELECT query_id, chunk_id, fused, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""")
 def hybrid_search(spark, sf):
     """RNK-09. No benchmark item is an identifier or question, so both pools are 50 deep in the SQL."""
-    return R.hybrid(chunks(spark, sf), vectors(spark, sf), item_vectors(spark, sf)).select("query_id", "chunk_id", "fused", "rank")
+    return R.hybrid(index(spark, sf), vectors(spark, sf), item_vectors(spark, sf)).select("query_id", "chunk_id", "fused", "rank")
 
 
 @query(f"WITH {CHUNKS} SELECT clearance, count(*) AS n FROM c WHERE clearance <= 2 GROUP BY clearance")
@@ -235,7 +249,7 @@ def ir_by_category(spark, sf):
 def grid_search_rank(spark, sf):
     """AGG-09/10: 600 configurations; relevant chunks are the best BM25 chunk of the item's own document set."""
     d, s = both(spark, sf, 100)
-    truth = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 100000).alias("chunk_id"), F.lit(1).alias("grade"))
+    truth = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * R.LINES).alias("chunk_id"), F.lit(1).alias("grade"))
     intents = items(spark, sf).select("query_id", R.intent(F.col("query")).alias("i")).select("query_id", "i.kind", "i.dense_weight", "i.sparse_weight", F.col("i.pool").alias("pool_factor"))
     return V.grid_search(R.merge(d, s), truth, V.grid(spark), intents)
 

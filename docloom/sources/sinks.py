@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 from docloom.operators import retrieval
+from docloom.sources import store
 
 MOST_BYTES = 50 << 20
 
@@ -25,8 +25,7 @@ def checked_uploads(files: DataFrame) -> DataFrame:
 
 def delete_path(spark: SparkSession, path: str) -> bool:
     """SNK-02."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return store.delete(spark, path)
 
 
 def dedup_upsert(new: DataFrame, old: DataFrame, hash_column: str = "file_hash", order: str = "created_at", key: str = "document_id") -> tuple[DataFrame, DataFrame]:
@@ -55,24 +54,13 @@ def checked_vectors(vectors: DataFrame, dim: int, column: str = "vec") -> DataFr
     return vectors.withColumn(column, F.when(F.size(column) == dim, F.col(column)).otherwise(F.raise_error(F.concat(F.lit("vector length "), F.size(column).cast("string"))).cast(vectors.schema[column].dataType)))
 
 
-def save(df: DataFrame, path: str, mode: str = "atomic") -> None:
-    """SNK-10: written beside the target, then renamed over it."""
-    spark = df.sparkSession
-    staging = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.parquet(staging)
-    p = spark._jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(p(path), True)
-    if not fs.rename(p(staging), p(path)):
-        raise OSError(f"cannot rename {staging} to {path}")
+save = store.save
 
 
 def build_sparse(chunks: DataFrame, path: str) -> None:
-    """SNK-07: postings sorted by term, lengths and statistics under path."""
+    """SNK-07: postings sorted by term, and what retrieval.Index searches, under path."""
     save(retrieval.postings(chunks).sortWithinPartitions("term", "chunk_id"), f"{path}/postings")
-    stats = retrieval.doc_stats(chunks)
-    save(stats, f"{path}/doc_stats")
-    save(retrieval.corpus_stats(stats), f"{path}/corpus_stats")
+    retrieval.Index.of(chunks).save(path)
 
 
 def build_dense(chunks: DataFrame, embed: Callable, path: str, dim: int) -> None:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.sources import store
+
 BENCHMARK = T.StructType([
     T.StructField("query_id", T.StringType()), T.StructField("query", T.StringType()), T.StructField("query_type", T.StringType()),
     T.StructField("expected_chunk_ids", T.ArrayType(T.StringType())), T.StructField("relevance_grades", T.MapType(T.StringType(), T.DoubleType())),
@@ -86,17 +88,10 @@ def benchmark_json(spark: SparkSession, path: str, part: str = "tuning_set") ->
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode(part).alias("q")).select("q.*")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def stored_index(spark: SparkSession, path: str, columns: set[str]) -> DataFrame | None:
     """SRC-09: None if missing; an index without the columns raises."""
-    if not exists(spark, path):
-        return None
-    df = spark.read.parquet(path)
-    if lost := columns - set(df.columns):
+    df = store.load(spark, path)
+    if df is not None and (lost := columns - set(df.columns)):
         raise ValueError(f"{path} lacks {sorted(lost)}")
     return df
 
@@ -105,6 +100,6 @@ def warm_up(spark: SparkSession, path: str, build: Callable[[], DataFrame], colu
     """SRC-10: the stored index, built first where it is missing."""
     found = stored_index(spark, path, columns)
     if found is None:
-        build().write.mode("overwrite").parquet(path)
-        found = spark.read.parquet(path)
+        store.save(build(), path)
+        found = store.load(spark, path)
     return found
