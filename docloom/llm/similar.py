@@ -5,10 +5,11 @@ words is a single run. Equal sets are folded first, so a group of exact copies i
 compared. Candidates share one of BANDS keys of ROWS minimum hashes each: a pair of similarity 0.8 meets in none
 with a chance of 3e-6, a more similar one with less. Every link is verified on the whole sets, exactly.
 
-In each bucket all rows are verified against its least one. Then, of a bucket whose rows are still in different
-components, all rows of different components are compared: the bucket's sets, cut into parts of bounded size,
-meet in one task, which emits a forest of the links it finds and never the pairs. So the components are those
-of all similar candidate pairs, also in a large group of near copies of which many are just not similar.
+In each bucket all rows are verified against its least one. Then, of a bucket whose other rows are still in
+different components, all those of different components are compared: their sets, cut into parts of bounded size,
+meet in one task, which emits a forest of the links it finds and never the pairs; buckets of the same rows are
+compared once. So the components are those of all similar candidate pairs, also in a large group of near copies
+of which many are just not similar.
 
 Rows are told apart by a number of their own, so of one doc_id with several texts each is judged by its text.
 A set is named by 128 bits of its hashes; words, and so shingles, are compared by 64-bit hashes.
@@ -121,11 +122,8 @@ def sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "row bigint, shingles array<bigint>")
 
 
-def _verified(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows whose sets are similar."""
-    pairs = stored(pairs)
-    used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    found = stored(sets(drawn.select("row", F.col("doc.text").cast("string").alias("text")).join(used, "row", "left_semi")))
+def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows whose sets, in found(row, shingles), are similar."""
     both = pairs.join(found.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b").join(found.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -137,14 +135,21 @@ def links(drawn: DataFrame, classes: DataFrame) -> DataFrame:
     rows = stored(one.select("row", "n", F.explode("bands").alias("band")))
     shared = stored(rows.groupBy("band").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least <> most").select("band", "least"))
     met = stored(rows.join(shared, "band").select("band", "row", "n", "least").distinct())
-    star = stored(_verified(met.where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b")).distinct(), drawn))
+    # every row that meets another one: its set is built once, for both comparisons
+    found = stored(sets(drawn.select("row", F.col("doc.text").cast("string").alias("text")).join(met.select("row").distinct(), "row", "left_semi")))
+    pairs = met.where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b"), "n").distinct()
+    pairs = pairs.join(met.where("row = least").select(F.col("row").alias("a"), F.col("n").alias("m")).distinct(), "a")
+    # sets whose sizes differ too much cannot be similar
+    star = stored(_verified(pairs.where(F.least("n", "m") >= F.lit(SIMILARITY) * F.greatest("n", "m")).select("a", "b"), found))
     comp = components(star)
-    placed = stored(met.join(comp, met["row"] == comp["node"], "left").select("band", "row", "n", F.coalesce("component", "row").alias("comp")))
-    size = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("all"), F.count("*").alias("rows"))
+    # the least row of a bucket has met all others: they meet each other, once for all buckets of the same rows
+    placed = stored(met.where("row <> least").join(comp, F.col("row") == comp["node"], "left").select("band", "row", "n", F.coalesce("component", "row").alias("comp")))
+    size = placed.groupBy("band").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("all"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("row")).alias("name"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("other")
+    )
     parts = F.ceil(F.greatest(F.col("all") / PART, F.col("rows") / PART_ROWS)).cast("bigint")
-    mixed = stored(size.where("low <> high").select("band", parts.alias("parts")))
+    mixed = stored(size.where("low <> high").groupBy("name", "other", "rows", "all").agg(F.min("band").alias("band")).select("band", parts.alias("parts")))
     left = stored(placed.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))))
-    found = stored(sets(drawn.select("row", F.col("doc.text").cast("string").alias("text")).join(left.select("row").distinct(), "row", "left_semi")))
     # a pair of parts (low, high) is one group; a bucket of one part is the group (0, 0)
     groups = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.shiftleft(F.least(j, F.col("part")), 32).bitwiseOR(F.greatest(j, F.col("part"))))
     sent = left.select("band", F.explode(groups).alias("grp"), "part", "comp", "row").join(found, "row").select("band", "grp", "part", "comp", "row", "shingles")
