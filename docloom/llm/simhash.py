@@ -25,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forest, read, stored, utf8_column
+from .common import components, forest, mix, read, stored, utf8_column
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
 BLOCKS = 5
 BUCKET = 8192
+#: Bits of the fingerprints that screen pairs for a similarity of shingles.
+WIDE = 256
+_WORDS = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _CUTS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 
 
@@ -55,6 +58,82 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def wide_prints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """WIDE-bit fingerprints of sets of 64-bit hashes, set i being h[at[i]:at[i + 1]]: a row of words a set, zero if empty.
+
+    Sixteen-bit lanes of a word count four bits at a time, so a set is summed in runs of at most 65,535 hashes.
+    """
+    n = np.diff(at)
+    full = np.flatnonzero(n)
+    out = np.zeros((len(n), WIDE // 64), np.uint64)
+    if not len(full):
+        return out
+    runs = -(-n[full] // 65535)
+    first = np.cumsum(runs) - runs
+    starts = np.repeat(at[full], runs) + (np.arange(runs.sum()) - np.repeat(first, runs)) * 65535
+    lane = np.uint64(0x0001000100010001)
+    for k in range(WIDE // 64):
+        g = mix(h ^ _WORDS[k])
+        ones = np.empty((len(full), 64), np.int64)
+        for j in range(16):
+            total = np.add.reduceat((g >> np.uint64(j)) & lane, starts)
+            for q in range(4):
+                part = (total >> np.uint64(16 * q)) & np.uint64(0xFFFF)
+                ones[:, 16 * q + j] = np.add.reduceat(part.astype(np.int64), first)
+        out[full, k] = np.packbits(2 * ones > n[full][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def vertical(prints: np.ndarray) -> np.ndarray:
+    """Bit planes of prints: row b holds bit b of all of them, 64 to a word."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+    bits = np.concatenate([bits, np.zeros((-len(prints) % 64, bits.shape[1]), np.uint8)])
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
+
+
+def within(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
+    """Whether each query print differs from each print of the planes in at most `radius` bits (padding included).
+
+    Distances of 64 prints a word are added up by carry-save adders in counters set so that they overflow beyond
+    the radius; a word whose prints have all overflowed is abandoned.
+    """
+    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
+    width, words = planes.shape
+    flip = np.where(np.unpackbits(np.ascontiguousarray(queries).view(np.uint8), axis=1, bitorder="little"), ones, np.uint64(0))
+    who, where = np.divmod(np.arange(len(queries) * words), words)
+    levels = radius.bit_length()
+    preset = (1 << levels) - 1 - radius
+    sums = [np.full(len(who), ones if preset >> k & 1 else 0, np.uint64) for k in range(levels)]
+    waiting: list[np.ndarray | None] = [None] * levels
+    over = np.zeros(len(who), np.uint64)
+
+    def add(x: np.ndarray, k: int) -> None:
+        while k < levels and waiting[k] is not None:
+            y, waiting[k] = waiting[k], None
+            half = sums[k] ^ x
+            x, sums[k] = (sums[k] & x) | (half & y), half ^ y
+            k += 1
+        if k < levels:
+            waiting[k] = x
+        else:
+            np.bitwise_or(over, x, out=over)
+
+    for b in range(width):
+        add(planes[b, where] ^ flip[who, b], 0)
+        if b % 32 == 31 and b > radius:
+            live = over != ones
+            if not live.all():
+                who, where, over = who[live], where[live], over[live]
+                sums = [x[live] for x in sums]
+                waiting[:] = [None if x is None else x[live] for x in waiting]
+    for k in range(levels):
+        if waiting[k] is not None:
+            add(np.zeros(len(who), np.uint64), k)
+    out = np.zeros((len(queries), words), np.uint64)
+    out[who, where] = ~over
+    return np.unpackbits(out.view(np.uint8), axis=1, bitorder="little").astype(bool)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of docs(doc_id, text); fp is the fingerprint as a signed bigint."""
 

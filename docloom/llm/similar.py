@@ -3,11 +3,16 @@
 A document is the set of its runs of SHINGLE words (split at ASCII white space, A-Z in lower case); one of fewer
 words is a single run. Equal sets are folded first, so a group of exact copies is one row before anything is
 compared. Candidates share one of BANDS keys of ROWS minimum hashes each: a pair of similarity 0.8 meets in none
-with a chance of 3e-6, a more similar one with less. Every link is verified on the whole sets, exactly.
+with a chance of 3e-6, a more similar one with less. Candidates are screened by SimHash: fingerprints of 256 bits
+over the same sets, at most RADIUS bits apart. A pair of similarity 0.8 differs in 39 bits on average (48 in the
+worst case, sets of 4 and 5 runs), five standard deviations below RADIUS. What passes is verified on the whole
+sets, exactly. Blocks of the fingerprint cannot draw the candidates themselves: a block long enough to select
+among many documents (30 bits) is shared by a pair of similarity 0.8 with a chance of 0.7 %.
 
 In each bucket all rows are verified against its least one. Then, of a bucket whose other rows are still in
 different components, all those of different components are compared: their sets, cut into parts of bounded size,
-meet in one task, which emits a forest of the links it finds and never the pairs; buckets of the same rows are
+meet in one task, which compares their fingerprints bit-sliced, verifies what is near, and emits a forest of the
+links it finds and never the pairs; buckets of the same rows are
 compared once. So the components are those of all similar candidate pairs, also in a large group of near copies
 of which many are just not similar.
 
@@ -29,12 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from . import simhash
 from .common import LOWER, components, forest, hash_chunks, mix, ragged, slices, stored, utf8_column, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
+#: Bits of 256 within which a pair is verified.
+RADIUS = 80
+#: Fingerprints compared with all others of a group at a time.
+TILE = 64
 #: Shingles and rows of a bucket's part, about; parts meet in pairs.
 PART, PART_ROWS = 1 << 20, 8192
 
@@ -85,9 +95,15 @@ def _name(h: np.ndarray, at: np.ndarray, turn: int) -> pa.Array:
     return pa.array(np.where(np.diff(at) > 0, mix(total[at[1:]] - total[at[:-1]]), np.uint64(0)).view(np.int64))
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    """Rows of words as lists of signed numbers."""
+    where = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+    return pa.ListArray.from_arrays(where, pa.array(np.ascontiguousarray(rows).reshape(-1).view(np.int64)))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, key, other, n, bands, doc): the rows of docs, each with its number, the name and size of its
-    shingle set, and its bucket keys; doc holds the row as it was. Written to the shared folder."""
+    """(row, doc_id, key, other, n, bands, print, doc): the rows of docs, each with its number, the name and size of
+    its shingle set, its bucket keys and its fingerprint; doc holds the row as it was. Written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,51 +115,57 @@ def sketches(docs: DataFrame) -> DataFrame:
                     for r in range(k * ROWS, k * ROWS + ROWS):
                         band = mix(band + np.minimum.reduceat(h * _TURN[r] + _SHIFT[r], at[full]))
                     bands[full, k] = band
-                where = pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS)
                 row, doc_id, doc, _ = b.slice(i, j - i).columns
-                columns = [row, doc_id, _name(h, at, 0), _name(h, at, 1), pa.array(np.diff(at)), pa.ListArray.from_arrays(where, pa.array(bands.reshape(-1).view(np.int64))), doc]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "key", "other", "n", "bands", "doc"])
+                columns = [row, doc_id, _name(h, at, 0), _name(h, at, 1), pa.array(np.diff(at)), _lists(bands), _lists(simhash.wide_prints(h, at)), doc]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "key", "other", "n", "bands", "print", "doc"])
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     long = [StructField(c, LongType()) for c in ("row", "doc_id", "key", "other", "n")]
-    return stored(rows.mapInArrow(run, StructType([*long, StructField("bands", ArrayType(LongType())), StructField("doc", docs.schema)])))
+    return stored(rows.mapInArrow(run, StructType([*long, StructField("bands", ArrayType(LongType())), StructField("print", ArrayType(LongType())), StructField("doc", docs.schema)])))
 
 
 def sets(texts: DataFrame) -> DataFrame:
-    """(row, shingles) of texts(row, text)."""
+    """(row, print, shingles) of texts(row, print, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, h, at in _each(b):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["row", "shingles"])
+                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:2], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["row", "print", "shingles"])
 
-    return texts.mapInArrow(run, "row bigint, shingles array<bigint>")
+    return texts.mapInArrow(run, "row bigint, print array<bigint>, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows whose sets, in found(row, shingles), are similar."""
-    both = pairs.join(found.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b").join(found.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
+    """The pairs (a, b) of rows whose sets, in found(row, shingles, ...), are similar.
+
+    Sets are joined by sorting, whatever their size: broadcast ones would pass through the driver.
+    """
+    x, y = (found.select(F.col("row").alias(c), F.col("shingles").alias(s)).hint("merge") for c, s in (("a", "x"), ("b", "y")))
+    both = pairs.join(y, "b").join(x, "a")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def links(drawn: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) between first rows of classes that make the same components as all similar candidate pairs do."""
-    one = drawn.where("n > 0").select("row", "n", "bands").join(classes.select("row"), "row", "left_semi")
-    rows = stored(one.select("row", "n", F.explode("bands").alias("band")))
-    shared = stored(rows.groupBy("band").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least <> most").select("band", "least"))
-    met = stored(rows.join(shared, "band").select("band", "row", "n", "least").distinct())
+    one = drawn.where("n > 0").select("row", "n", "bands", "print").join(classes.select("row"), "row", "left_semi")
+    rows = stored(one.select("row", "n", "print", F.explode("bands").alias("band")))
+    first = F.min(F.struct("row", "n", "print")).alias("least")
+    shared = stored(rows.groupBy("band").agg(first, F.max("row").alias("most")).where("least.row <> most").select("band", "least"))
+    met = stored(rows.join(shared, "band").select("band", "row", "n", "print", "least"))
     # every row that meets another one: its set is built once, for both comparisons
-    found = stored(sets(drawn.select("row", F.col("doc.text").cast("string").alias("text")).join(met.select("row").distinct(), "row", "left_semi")))
-    pairs = met.where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b"), "n").distinct()
-    pairs = pairs.join(met.where("row = least").select(F.col("row").alias("a"), F.col("n").alias("m")).distinct(), "a")
-    # sets whose sizes differ too much cannot be similar
-    star = stored(_verified(pairs.where(F.least("n", "m") >= F.lit(SIMILARITY) * F.greatest("n", "m")).select("a", "b"), found))
+    texts = drawn.select("row", "print", F.col("doc.text").cast("string").alias("text")).hint("merge")
+    found = stored(sets(texts.join(met.select("row").distinct(), "row", "left_semi")))
+    pairs = met.where("row <> least.row").select(F.col("least.row").alias("a"), F.col("row").alias("b"), "n", F.col("least.n").alias("m"), "print", F.col("least.print").alias("first"))
+    apart = F.aggregate(F.zip_with("print", "first", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
+    # sets whose sizes or fingerprints differ too much cannot be similar
+    near = pairs.where((F.least("n", "m") >= F.lit(SIMILARITY) * F.greatest("n", "m")) & (apart <= RADIUS)).select("a", "b").distinct()
+    star = stored(_verified(near, found))
     comp = components(star)
     # the least row of a bucket has met all others: they meet each other, once for all buckets of the same rows
-    placed = stored(met.where("row <> least").join(comp, F.col("row") == comp["node"], "left").select("band", "row", "n", F.coalesce("component", "row").alias("comp")))
+    placed = stored(met.where("row <> least.row").join(comp, F.col("row") == comp["node"], "left").select("band", "row", "n", F.coalesce("component", "row").alias("comp")))
     size = placed.groupBy("band").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("all"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("row")).alias("name"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("other")
     )
@@ -152,33 +174,37 @@ def links(drawn: DataFrame, classes: DataFrame) -> DataFrame:
     left = stored(placed.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))))
     # a pair of parts (low, high) is one group; a bucket of one part is the group (0, 0)
     groups = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.shiftleft(F.least(j, F.col("part")), 32).bitwiseOR(F.greatest(j, F.col("part"))))
-    sent = left.select("band", F.explode(groups).alias("grp"), "part", "comp", "row").join(found, "row").select("band", "grp", "part", "comp", "row", "shingles")
+    sent = left.select("band", F.explode(groups).alias("grp"), "part", "comp", "row").join(found.hint("merge"), "row").select("band", "grp", "part", "comp", "row", "print", "shingles")
     return star.unionByName(sent.repartition("band", "grp").sortWithinPartitions("band", "grp").mapInArrow(_compare, "a bigint, b bigint"))
 
 
-def linked(ids: np.ndarray, at: np.ndarray, comp: np.ndarray, part: np.ndarray, alike: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked(ids: np.ndarray, at: np.ndarray, comp: np.ndarray, part: np.ndarray, alike: bool, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of similar sets of different components; set i holds the numbers ids[at[i]:at[i + 1]], each once.
 
-    alike: all sets meet each other; else only those of different parts do.
+    alike: all sets meet each other; else only those of different parts do. prints: the sets' fingerprints.
     """
     n = np.diff(at)
     mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    planes = simhash.vertical(prints)
     for i in range(len(n)):
-        fits = (comp != comp[i]) & (np.minimum(n, n[i]) >= SIMILARITY * np.maximum(n, n[i]))
+        if i % TILE == 0:
+            near = simhash.within(planes, prints[i : i + TILE], RADIUS)[:, : len(n)]
+        fits = near[i % TILE] & (comp != comp[i]) & (np.minimum(n, n[i]) >= SIMILARITY * np.maximum(n, n[i]))
         fits[: i + 1] = False
         if not alike:
             fits &= part != part[i]
-        if fits.any():
+        j = np.flatnonzero(fits)
+        if len(j):
             mark[ids[at[i] : at[i + 1]]] = True
-            common = np.add.reduceat(mark[ids[at[i] :]], at[i:-1] - at[i], dtype=np.int64)
+            common = np.add.reduceat(mark[ids[ragged(at[j], n[j])]], np.cumsum(n[j]) - n[j], dtype=np.int64)
             mark[ids[at[i] : at[i + 1]]] = False
-            near = np.flatnonzero(fits[i:] & (common >= SIMILARITY * (n[i:] + n[i] - common))) + i
-            if len(near):
-                yield np.full(len(near), i), near
+            j = j[common >= SIMILARITY * (n[j] + n[i] - common)]
+            if len(j):
+                yield np.full(len(j), i), j
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, grp, part, comp, row, shingles) sorted by (band, grp): forests of the groups' links."""
+    """Rows (band, grp, part, comp, row, print, shingles) sorted by (band, grp): forests of the groups' links."""
     held: list[pa.Table] = []
 
     def done(t: pa.Table) -> pa.RecordBatch:
@@ -187,7 +213,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.concatenate([[0], np.cumsum(shingles.value_lengths().to_numpy())]).astype(np.int64)
         _, ids = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
         grp = int(t.column("grp")[0].as_py())
-        parent = forest(linked(ids, at, comp, part, grp >> 32 == grp & 0xFFFFFFFF), len(row))
+        prints = t.column("print").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(row), -1)
+        parent = forest(linked(ids, at, comp, part, grp >> 32 == grp & 0xFFFFFFFF, prints), len(row))
         i = np.flatnonzero(parent != np.arange(len(row)))
         return pa.RecordBatch.from_arrays([pa.array(row[i]), pa.array(row[parent[i]])], names=["a", "b"])
 
@@ -228,5 +255,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the least doc_id; all columns stay, and rows with a null doc_id do."""
     drawn = sketches(docs)
     gone = _placed(drawn).where("row <> first.row").select(F.col("row").alias("gone"))
-    kept = drawn.select("row", "doc").join(gone, drawn["row"] == gone["gone"], "left_anti")
+    kept = drawn.select("row", "doc").hint("merge").join(gone, drawn["row"] == gone["gone"], "left_anti")
     return kept.select("doc.*")

@@ -5,7 +5,8 @@ import random
 import numpy as np
 from test_ops import SCHEMA, union, words
 
-from docloom.llm import similar
+from docloom.llm import simhash, similar
+from docloom.llm.common import mix
 
 
 def brute(text):
@@ -48,9 +49,31 @@ def test_linked_against_brute_force():
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     comp, part = rng.integers(0, 9, 60), rng.integers(0, 2, 60)
     similarity = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    prints = simhash.wide_prints(mix(np.concatenate(sets).astype(np.uint64) + np.uint64(99)), at)
     for alike in (True, False):
         want = {(i, j) for i in range(60) for j in range(i + 1, 60) if comp[i] != comp[j] and (alike or part[i] != part[j]) and similarity(sets[i], sets[j]) >= 0.8}
-        assert {(i, j) for u, v in similar.linked(np.concatenate(sets), at, comp, part, alike) for i, j in zip(u.tolist(), v.tolist())} == want and want
+        assert {(i, j) for u, v in similar.linked(np.concatenate(sets), at, comp, part, alike, prints) for i, j in zip(u.tolist(), v.tolist())} == want and want
+
+
+def test_wide_prints_and_bit_sliced_distances():
+    rng = np.random.default_rng(14)
+    sizes = [0, 1, 4, 5, 70, 65534, 65536, 140000, 0]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    h = rng.integers(0, 2**63, at[-1], dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, at[-1], dtype=np.uint64)
+    got = simhash.wide_prints(h, at)
+    for i, n in enumerate(sizes):
+        for k in range(simhash.WIDE // 64):
+            g = mix(h[at[i] : at[i + 1]] ^ simhash._WORDS[k])
+            ones = [int(((g >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
+            assert int(got[i, k]) == sum(1 << b for b in range(64) if 2 * ones[b] > n)
+    prints = rng.integers(0, 2**63, (150, 4), dtype=np.uint64)
+    for i in range(1, 150):  # near the one before, by a growing number of bits
+        prints[i] = prints[i - 1] if i % 7 else prints[i]
+        for b in rng.choice(256, i % 9 * 8, replace=False).tolist():
+            prints[i, b // 64] ^= np.uint64(1 << b % 64)
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
+    for radius in (0, 3, 64, 80, 127):
+        assert (simhash.within(simhash.vertical(prints), prints[:70], radius)[:, :150] == (apart[:70] <= radius)).all()
 
 
 def test_pipeline_stage_drops_edited_copies(spark):
