@@ -150,19 +150,20 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def links(drawn: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) between first rows of classes that make the same components as all similar candidate pairs do."""
-    one = drawn.where("n > 0").select("row", "n", "bands", "print").join(classes.select("row"), "row", "left_semi")
-    rows = stored(one.select("row", "n", "print", F.explode("bands").alias("band")))
-    first = F.min(F.struct("row", "n", "print")).alias("least")
+    one = drawn.where("n > 0").select("row", "n", "bands").join(classes.select("row"), "row", "left_semi")
+    rows = stored(one.select("row", "n", F.explode("bands").alias("band")))
+    first = F.min(F.struct("row", "n")).alias("least")
     shared = stored(rows.groupBy("band").agg(first, F.max("row").alias("most")).where("least.row <> most").select("band", "least"))
-    met = stored(rows.join(shared, "band").select("band", "row", "n", "print", "least"))
+    met = stored(rows.join(shared, "band").select("band", "row", "n", "least"))
     # every row that meets another one: its set is built once, for both comparisons
     texts = drawn.select("row", "print", F.col("doc.text").cast("string").alias("text")).hint("merge")
     found = stored(sets(texts.join(met.select("row").distinct(), "row", "left_semi")))
-    pairs = met.where("row <> least.row").select(F.col("least.row").alias("a"), F.col("row").alias("b"), "n", F.col("least.n").alias("m"), "print", F.col("least.print").alias("first"))
+    pairs = met.where("row <> least.row").select(F.col("least.row").alias("a"), F.col("row").alias("b"), "n", F.col("least.n").alias("m")).distinct()
+    # sets whose sizes or fingerprints differ too much cannot be similar; fingerprints are joined once a pair, not once a bucket
+    x, y = (found.select(F.col("row").alias(c), F.col("print").alias(p)) for c, p in (("a", "first"), ("b", "print")))
+    pairs = pairs.where(F.least("n", "m") >= F.lit(SIMILARITY) * F.greatest("n", "m")).join(y, "b").join(x, "a")
     apart = F.aggregate(F.zip_with("print", "first", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
-    # sets whose sizes or fingerprints differ too much cannot be similar
-    near = pairs.where((F.least("n", "m") >= F.lit(SIMILARITY) * F.greatest("n", "m")) & (apart <= RADIUS)).select("a", "b").distinct()
-    star = stored(_verified(near, found))
+    star = stored(_verified(pairs.where(apart <= RADIUS).select("a", "b"), found))
     comp = components(star)
     # the least row of a bucket has met all others: they meet each other, once for all buckets of the same rows
     placed = stored(met.where("row <> least.row").join(comp, F.col("row") == comp["node"], "left").select("band", "row", "n", F.coalesce("component", "row").alias("comp")))
