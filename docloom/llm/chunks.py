@@ -13,31 +13,51 @@ import numpy as np
 
 from .common import distinct_chunks, ragged
 
-#: Distinct chunks a worker keeps; beyond it the cache starts anew. Long chunks are never kept.
+#: Distinct chunks a worker keeps; beyond half of it a new generation begins and the one before the last goes. Long
+#: chunks are never kept.
 CACHE = 700_000
 LONGEST = 48
 
 
 class ChunkCache:
-    """Values of chunks; value(list of chunk bytes) gives a list of bytes-like values, one for each chunk."""
+    """Values of chunks; value(list of chunk bytes) gives a list of bytes-like values, one for each chunk.
 
-    def __init__(self, value: Callable[[list[bytes]], list[bytes]]):
-        self.value = value
+    A process keeps the chunks of one cache, the last used: workers are used again by the next stage.
+    """
+
+    _last: ChunkCache | None = None
+
+    def __init__(self, value: Callable[[list[bytes]], list[bytes]], most: int | None = None):
+        self.value, self.most = value, most or CACHE
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def many(self, chunks: list[bytes]) -> list[bytes]:
-        kept = self.kept
-        out = [kept.get(c) for c in chunks]
+        last = ChunkCache._last
+        if last is not self:
+            if last is not None:
+                last.kept, last.older = {}, {}
+            ChunkCache._last = self
+        out = [self.kept.get(c) for c in chunks]
         missing = [i for i, v in enumerate(out) if v is None]
+        if missing and self.older:  # what is still in use moves on
+            for i in missing:
+                v = out[i] = self.older.get(chunks[i])
+                if v is not None:
+                    self._keep(chunks[i], v)
+            missing = [i for i in missing if out[i] is None]
         if missing:
-            if len(kept) > CACHE:
-                kept.clear()
             for i, v in zip(missing, self.value([chunks[i] for i in missing])):
                 out[i] = v
                 if len(chunks[i]) <= LONGEST:
-                    kept[chunks[i]] = v
+                    self._keep(chunks[i], v)
         return out
 
+    def _keep(self, chunk: bytes, value: bytes) -> None:
+        if len(self.kept) >= self.most // 2:
+            self.older, self.kept = self.kept, {}
+        self.kept[chunk] = value
+
 
 def cut(data: np.ndarray, offsets: np.ndarray, safe: np.ndarray, mapped: np.ndarray | None = None) -> np.ndarray:
     """Starts of chunks: starts of non-empty rows, and places where safe[previous byte, byte]."""

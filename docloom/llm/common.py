@@ -182,6 +182,19 @@ def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
     return data[lo:hi], offsets - lo
 
 
+def trim() -> None:
+    """Give memory that is free but still held by the allocators back to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def slices(offsets: np.ndarray, most: int = 2_000_000):
     """(first row, end row) runs of rows of about `most` bytes; a longer single row is its own run."""
     i, n = 0, len(offsets) - 1

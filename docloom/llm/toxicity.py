@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from .chunks import ChunkCache
-from .common import LOWER, WORD, distinct_chunks, read, slices, utf8_column, word_spans
+from .common import LOWER, WORD, distinct_chunks, read, slices, trim, utf8_column, word_spans
 
 SAMPLE = 1200
 ORDER = 9
 SHARED = 2
 DISCOUNT = 0.75
 RUN = 2
+#: Words a worker keeps the values of, and bytes of text it splits at a time: two workers share an executor's memory.
+KEPT, SLICE = 500_000, 1_000_000
 
 _RNG = np.random.default_rng(20240817)
 _BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,7 +191,7 @@ class Model:
         if self.kn is None:
             return np.full(len(offsets) - 1, self.share)
         if self.cache is None:
-            self.cache = ChunkCache(self._values)
+            self.cache = ChunkCache(self._values, KEPT)
         starts, ends = word_spans(data, offsets)
         first = np.searchsorted(starts, offsets)
         diff = np.empty(0)
@@ -248,6 +250,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     at = order.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_scores(shared.value, b.column(at)))], names=[*order, name])
 
@@ -256,7 +259,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
 def _scores(model: Model, column: pa.Array) -> np.ndarray:
     data, offsets = utf8_column(column.cast(pa.string()))
-    out = [model.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]
+    out = [model.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, SLICE)]
+    trim()
     return np.concatenate(out) if out else np.empty(0)
 
 
@@ -266,6 +270,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for b in batches:
             yield b.filter(pa.array(_scores(shared.value, b.column(at)) < 0.5))
 

@@ -207,6 +207,30 @@ def test_vectors_move_a_fixed_number_of_times(spark, monkeypatch):
     assert moved[1] < 6 * moved[0]
 
 
+def test_a_worker_keeps_few_chunks():
+    """A cache is bounded, forgets what is no longer used first, and gives way to the next stage's cache."""
+    from docloom.llm.chunks import ChunkCache
+
+    asked = []
+    one, two = (ChunkCache(lambda c: asked.extend(c) or [x * 2 for x in c], 100) for _ in range(2))
+    for i in range(1000):
+        assert one.many([b"often", b"%d" % i]) == [b"oftenoften", b"%d%d" % (i, i)]
+        assert len(one.kept) + len(one.older) <= 100
+    assert asked.count(b"often") == 1
+    assert two.many([b"x"]) == [b"xx"] and not one.kept and not one.older and one.many([b"often"]) == [b"oftenoften"]
+
+
+def test_toxicity_model_keeps_few_words():
+    kn = toxicity.KneserNey([b"good", b"bad"], np.array([[1.0, 0.0], [0.0, 1.0]]))
+    model, fresh = (toxicity.Model(kn, np.array([1.0, 1.0, 0.0, 0.0]), 0.5) for _ in range(2))
+    got = []
+    for k in range(9):
+        text = " ".join(f"w{k}x{i}" for i in range(100_000)).encode()
+        got.append(model.score(np.frombuffer(text + b" bad", np.uint8), np.array([0, len(text) + 4]))[0])
+        assert len(model.cache.kept) + len(model.cache.older) <= toxicity.KEPT
+    assert got[-1] == fresh.score(np.frombuffer(text + b" bad", np.uint8), np.array([0, len(text) + 4]))[0]
+
+
 def test_bloom_passes_all_and_little_else(spark):
     keys = spark.range(5000).select(F.concat(F.lit("=k"), F.col("id").cast("string")).alias("key"))
     table, blocks = url_filter.bloom(keys)
