@@ -3,9 +3,9 @@
 Prefix dynamic programming: the last token of a prefix's encoding is the one vocabulary piece that ends the
 prefix and is compatible with the last token of the prefix before it (the pair encodes to itself), so
 count[i] = count[i - len(last)] + 1 and one pass over a text gives the count of every prefix. It is exact
-because piece merges are local. The pass runs once for each distinct chunk; chunks are cut where no
-vocabulary piece holds the two neighbouring characters, so no merge can cross a cut, and a text's prefix
-counts are its chunks' counts added up. One signed byte a text byte is stored: the change of the count at
+because piece merges are local. The pass runs once for each distinct chunk, and once for the prefix that
+chunks in order share; chunks are cut where no vocabulary piece holds the two neighbouring characters, so
+no merge can cross a cut, and a text's prefix counts are its chunks' counts added up. One signed byte a text byte is stored: the change of the count at
 that byte (a character's change stands at its last byte); the running sum answers truncation and budget
 questions without encoding again.
 
@@ -27,6 +27,7 @@ from .common import read, slices, utf8_column
 
 LIMIT = 4096
 SPACE = "▁"
+OPENS = b"\xff"  # in no UTF-8 text
 
 
 def default_model() -> str:
@@ -46,15 +47,18 @@ class PrefixCounter:
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         self.tails = {p[k:] for p in self.score for k in range(len(p))}
         pairs = {(a, b) for p in self.score for a, b in zip(p, p[1:])}
+        # a cut is safe before a character's first byte, unless a piece holds two characters with these bytes at their border
         self.safe = np.zeros((256, 256), bool)
-        for a in range(128):
-            for b in range(128):
-                self.safe[a, b] = (SPACE if a == 32 else chr(a), SPACE if b == 32 else chr(b)) not in pairs
+        self.safe[:192, :128] = self.safe[:192, 194:245] = True
+        for x, y in pairs:
+            for u in (x, " ") if x == SPACE else (x,):
+                for v in (y, " ") if y == SPACE else (y,):
+                    self.safe[u.encode()[-1], v.encode()[0]] = False
         self.agree: dict[tuple[str, str], bool] = {}
         self.rank = {p: k for k, p in enumerate(sorted(self.score, key=lambda p: -self.score[p]))}
         self.parts: dict[str, tuple[str, str] | None] = {}
-        self.cache = ChunkCache(lambda chunks: [self.changes(c.decode()) for c in chunks])
-        self.firsts = ChunkCache(lambda chunks: [self.changes(c.decode(), True) for c in chunks])
+        # one cache for both kinds of chunk, as a process keeps one: those that open a text stand behind OPENS
+        self.cache = ChunkCache(self.changes)
 
     def merged(self, s: str) -> list[str]:
         """The encoding of a short string: merge the best-scored neighbours, leftmost first."""
@@ -111,11 +115,13 @@ class PrefixCounter:
         self.agree[a, b] = got
         return got
 
-    def counts(self, s: str) -> list[int]:
-        """counts(s)[i]: tokens of the encoding of s[:i]; s has its spaces replaced."""
+    def counts(self, s: str, count: list[int], last: list[str]) -> None:
+        """Carry count and last on to the end of s, which has its spaces replaced, from the prefix they hold.
+
+        count[i]: tokens of the encoding of s[:i]; last[i]: its last token.
+        """
         score, tails, agree, compatible = self.score, self.tails, self.agree, self.compatible
-        count, last = [0], [""]
-        for i in range(1, len(s) + 1):
+        for i in range(len(count), len(s) + 1):
             piece = s[i - 1]
             fits = [piece]
             for k in range(i - 2, -1, -1):
@@ -140,21 +146,32 @@ class PrefixCounter:
                     break
             else:
                 raise AssertionError("a prefix has no last token")
-        return count
-
-    def changes(self, chunk: str, first: bool = False) -> bytes:
-        """One signed byte a byte of the chunk; first: the chunk opens its text, after the model's own space."""
-        s = chunk.replace(" ", SPACE)
-        c = self.counts(SPACE + s if first else s)
-        if first:
-            c = [0, *c[2:]]
-        if chunk.isascii():
-            return bytes([(b - a) & 0xFF for a, b in zip(c, c[1:])])
-        out = bytearray()
-        for ch, a, b in zip(chunk, c, c[1:]):
-            out += bytes(len(ch.encode()) - 1)
-            out.append((b - a) & 0xFF)
-        return bytes(out)
+
+    def changes(self, chunks: list[bytes]) -> list[bytes]:
+        """One signed byte a byte of each chunk; behind OPENS: the chunk opens its text, after the model's own space.
+
+        Chunks are taken in order, so that each goes on from the prefix it shares with the one before it.
+        """
+        texts = [(SPACE + c[1:].decode() if c[:1] == OPENS else c.decode()).replace(" ", SPACE) for c in chunks]
+        out, before, count, last = [b""] * len(chunks), "", [0], [""]
+        for k in sorted(range(len(chunks)), key=texts.__getitem__):
+            s, raw = texts[k], chunks[k]
+            same, most = 0, min(len(s), len(before))
+            while same < most and s[same] == before[same]:
+                same += 1
+            del count[same + 1 :], last[same + 1 :]
+            self.counts(s, count, last)
+            before, c = s, count
+            if raw[:1] == OPENS:
+                raw, c = raw[1:], [0, *count[2:]]
+            step = bytes([(b - a) & 0xFF for a, b in zip(c, c[1:])])
+            if not raw.isascii():
+                at = np.frombuffer(raw, np.uint8)
+                wide = np.zeros(len(at), np.uint8)
+                wide[np.append((at[1:] & 0xC0) != 0x80, True)] = np.frombuffer(step, np.uint8)
+                step = wide.tobytes()
+            out[k] = step
+        return out
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Changes for rows laid end to end, one signed byte a byte."""
@@ -166,7 +183,7 @@ class PrefixCounter:
         at = starts[opening]
         ends = np.append(starts[1:], len(data))[opening]
         raw = memoryview(data)
-        for a, b, v in zip(at.tolist(), ends.tolist(), self.firsts.many([bytes(raw[a:b]) for a, b in zip(at.tolist(), ends.tolist())])):
+        for a, b, v in zip(at.tolist(), ends.tolist(), self.cache.many([OPENS + raw[a:b] for a, b in zip(at.tolist(), ends.tolist())])):
             out[a:b] = np.frombuffer(v, np.int8)
         return out
 

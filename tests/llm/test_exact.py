@@ -68,6 +68,45 @@ def test_collisions_tokenizers():
         assert np.diff(total[offsets]).tolist() == [len(sp.encode(t)) for t in texts]
 
 
+def test_token_counts_keep_chunks():
+    """Chunks that open a text and the others are kept side by side."""
+    c, asked = token_counts.PrefixCounter(token_counts.default_model()), []
+    value = c.cache.value
+    c.cache.value = lambda chunks: asked.extend(chunks) or value(chunks)
+    texts = ["one two three", "two threes", "", "three"]
+    got = c.of(*laid(texts)).tolist()
+    assert asked
+    asked.clear()
+    assert c.of(*laid(texts)).tolist() == got and not asked
+
+
+def test_token_counts_share_prefixes():
+    """A chunk goes on from the prefix it shares with the chunk before it in order."""
+    c, steps = token_counts.PrefixCounter(token_counts.default_model()), []
+    counts = c.counts
+    c.counts = lambda s, count, last: steps.append(len(s) + 1 - len(count)) or counts(s, count, last)
+    c.changes([b" threes", b" three", b"\xffthreefold", b"a"])
+    assert steps == [1, 6, 4, 1]
+
+
+def test_token_counts_of_wide_characters():
+    """Texts are cut beside characters of several bytes too, and every prefix counts as in the library."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_model())
+    c, rng = token_counts.PrefixCounter(token_counts.default_model()), random.Random(12)
+    assert len(token_counts.cut(*laid(["schön früh süß, déjà là"]), c.safe)) >= 5
+    pieces = [p.replace("▁", rng.choice(" ▁")) for p in c.score]
+    wide = [p for p in pieces if not p.isascii()]
+    single = sorted({x for p in wide for x in p}) + list("  ▁\u00c1\u0781\u2581\u3041\U0001f601\U0001f600\u0301\n\t%")
+    for _ in range(60):
+        texts = ["".join(rng.choice(rng.choice([pieces, wide, single, single])) for _ in range(rng.randrange(1, 12))) for _ in range(20)]
+        data, offsets = laid(texts)
+        got = c.of(data, offsets)
+        for t, a, b in zip(texts, offsets.tolist(), offsets[1:].tolist()):
+            assert [token_counts.count_at(got[a:b].tobytes(), len(t[:k].encode())) for k in range(len(t) + 1)] == [len(sp.encode(t[:k])) for k in range(len(t) + 1)], t
+
+
 def test_collisions_toxicity():
     x, y = (w.encode() for w in PAIRS[0])
     model = toxicity.Model(toxicity.KneserNey([x, b"ab", b"ba"], np.array([[1.0, 2.0, 1.0], [3.0, 1.0, 1.0]])), np.array([1.0, 1.0, 0.1, 0.0]), 0.5)
