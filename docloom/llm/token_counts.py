@@ -55,7 +55,9 @@ class PrefixCounter:
                 for v in (y, " ") if y == SPACE else (y,):
                     self.safe[u.encode()[-1], v.encode()[0]] = False
         self.agree: dict[tuple[str, str], bool] = {}
-        self.rank = {p: k for k, p in enumerate(sorted(self.score, key=lambda p: -self.score[p]))}
+        # equal scores (the model's runs of spaces) share a rank, as their merges are made leftmost first
+        place = {v: k for k, v in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {p: place[v] for p, v in self.score.items()}
         self.parts: dict[str, tuple[str, str] | None] = {}
         # one cache for both kinds of chunk, as a process keeps one: those that open a text stand behind OPENS
         self.cache = ChunkCache(self.changes)

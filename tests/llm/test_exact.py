@@ -107,6 +107,20 @@ def test_token_counts_of_wide_characters():
             assert [token_counts.count_at(got[a:b].tobytes(), len(t[:k].encode())) for k in range(len(t) + 1)] == [len(sp.encode(t[:k])) for k in range(len(t) + 1)], t
 
 
+def test_token_counts_of_long_spaces():
+    """Merges of equal score are made leftmost first, as in the library: runs of 14 spaces and more."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_model())
+    c, rng = token_counts.PrefixCounter(token_counts.default_model()), random.Random(13)
+    texts = [a + " " * n + b for n in range(70) for a, b in (("", ""), ("", "the"), ("a", ""), ("if x:\n", "return"), ("é", "日"))]
+    texts += ["".join(rng.choice([" " * rng.randrange(1, 40), "▁" * rng.randrange(1, 20), "\n", "\t", "x", "the", "1", "é"]) for _ in range(8)) for _ in range(200)]
+    data, offsets = laid(texts)
+    total = np.concatenate([[0], np.cumsum(c.of(data, offsets), dtype=np.int64)])
+    for t, a, b in zip(texts, offsets.tolist(), offsets[1:].tolist()):
+        assert [total[a + len(t[:k].encode())] - total[a] for k in range(len(t) + 1)] == [len(sp.encode(t[:k])) for k in range(len(t) + 1)], t
+
+
 def test_collisions_toxicity():
     x, y = (w.encode() for w in PAIRS[0])
     model = toxicity.Model(toxicity.KneserNey([x, b"ab", b"ba"], np.array([[1.0, 2.0, 1.0], [3.0, 1.0, 1.0]])), np.array([1.0, 1.0, 0.1, 0.0]), 0.5)
