@@ -47,6 +47,8 @@ RADIUS = 80
 TILE = 64
 #: Shingles and rows of a bucket's part, about; parts meet in pairs.
 PART, PART_ROWS = 1 << 20, 8192
+#: Links that one task joins to components (about 100 bytes each); more are joined in rounds over all tasks.
+HELD = 1 << 19
 
 _SEEN = np.ones(256, bool)
 _SEEN[[9, 10, 11, 12, 13, 32]] = False
@@ -164,7 +166,7 @@ def links(drawn: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = pairs.where(F.least("n", "m") >= F.lit(SIMILARITY) * F.greatest("n", "m")).join(y, "b").join(x, "a")
     apart = F.aggregate(F.zip_with("print", "first", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
     star = stored(_verified(pairs.where(apart <= RADIUS).select("a", "b"), found))
-    comp = components(star)
+    comp = components(star, held=HELD)
     # the least row of a bucket has met all others: they meet each other, once for all buckets of the same rows
     placed = stored(met.where("row <> least.row").join(comp, F.col("row") == comp["node"], "left").select("band", "row", "n", F.coalesce("component", "row").alias("comp")))
     size = placed.groupBy("band").agg(
@@ -240,7 +242,7 @@ def _placed(drawn: DataFrame) -> DataFrame:
     drawn = drawn.where("doc_id is not null")
     least = F.min(F.struct("doc_id", "row")).alias("least")
     classes = stored(drawn.groupBy("key", "other", "n").agg(least).withColumn("row", F.col("least.row")))
-    comp = components(links(drawn, classes))
+    comp = components(links(drawn, classes), held=HELD)
     named = classes.join(comp, classes["row"] == comp["node"], "left").select("key", "other", "n", "least", F.coalesce("component", "row").alias("component"))
     first = named.groupBy("component").agg(F.min("least").alias("first"))
     ids = named.join(first, "component").select("key", "other", "n", "first")

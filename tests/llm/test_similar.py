@@ -5,7 +5,7 @@ import random
 import numpy as np
 from test_ops import SCHEMA, union, words
 
-from docloom.llm import simhash, similar
+from docloom.llm import common, simhash, similar
 from docloom.llm.common import mix
 
 
@@ -85,3 +85,31 @@ def test_pipeline_stage_drops_edited_copies(spark):
     assert 0.8 <= len(brute(" ".join(base)) & brute(" ".join(edited))) / len(brute(" ".join(base)) | brute(" ".join(edited))) < 0.95
     docs = spark.createDataFrame([(1, " ".join(base), "en", "s", 1), (2, " ".join(edited), "en", "s", 1), (3, words(rng, 200, 3000), "en", "s", 1)], SCHEMA)
     assert sorted(r["doc_id"] for r in corpus_pipeline.deduplicate(spark, docs, "").collect()) == [1, 3]
+
+
+def test_components_held_by_one_task(spark):
+    rng = random.Random(15)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    pairs += [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 2000 + i) for i in range(50)] + [(7, 7), (2**62, -(2**62)), (3000, 3001), (3001, 3000)]
+    want = union([p for p in pairs if p[0] != p[1]], {n for p in pairs if p[0] != p[1] for n in p})
+    df = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(3)
+    tables = len(common._TABLES)
+    for held in (0, 340, 1 << 19):  # in rounds; in rounds, then in one task; in one task
+        assert {r["node"]: r["component"] for r in common.components(df, held=held).collect()} == want
+    assert len(common._TABLES) == tables + 3
+    assert common.components(df.where("false"), held=9).count() == 0
+
+
+def test_few_links_cost_the_driver_no_rounds(spark):
+    rng = random.Random(16)
+    base = [words(rng, 80, 3000).split() for _ in range(12)]
+    docs = [(12 * v + k, " ".join(t[: 40 + v] + ["new"] * (v > 0) + t[40 + v :]), "en", "s", 1) for v in range(4) for k, t in enumerate(base)]
+    sc = spark.sparkContext
+    sc.setJobGroup("links", "links")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame(docs, SCHEMA)).collect()}
+        jobs = len(sc.statusTracker().getJobIdsForGroup("links"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: i % 12 for i in range(48)}
+    assert jobs < 60, jobs  # 75 where rounds join the links
