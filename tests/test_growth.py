@@ -78,4 +78,16 @@ def test_compare_leaves_out_pairs_with_a_blank_side(spark):
 
 
 def test_rounding_is_half_up_of_decimals():
-    assert compare.round4(np.array([0.63125, 0.00005, 0.12344999, 1.0])).tolist() == [0.6313, 0.0001, 0.1234, 1.0]
+    assert compare.rounded(np.array([0.63125, 0.00005, 0.12344999, 1.0])).tolist() == [0.6313, 0.0001, 0.1234, 1.0]
+
+
+def test_jaccard_pairs_in_many_tasks(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 1, 2, None]), k, [rng.choice("abcdefghi") for _ in range(rng.choice([0, 1, 4]))]) for k in range(90)] + [(1, 5, ["a"])]
+    df = spark.createDataFrame(rows, "block int, key long, words array<string>").withColumn("words", F.array_distinct("words"))
+    p, q = df.toDF("block", "a", "w"), df.toDF("block", "b", "v")
+    want = sorted(map(tuple, p.join(q, "block").where("a < b").select("a", "b", F.round(compare.T.jaccard(F.col("w"), F.col("v")), 6)).collect()))
+    for chunk in (1024, 7):
+        monkeypatch.setattr(compare, "CHUNK", chunk)
+        assert sorted(map(tuple, compare.jaccard_pairs(df).collect())) == want
+    assert compare.jaccard_pairs(df).rdd.getNumPartitions() > 8
