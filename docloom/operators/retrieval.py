@@ -23,6 +23,8 @@ BROADCAST_BYTES = 32 << 20
 #: A batch of queries of up to so many numbers (terms, or vector components) is broadcast in blocks of BLOCK
 #: weights; a larger batch is joined.
 QUERY_NUMBERS, BLOCK = 4_000_000, 4_000_000
+#: Scores of vectors with queries that a worker has at once; some six arrays of this size exist meanwhile.
+SCORES = 1 << 19
 #: Ids of a document's line chunks: no text has as many lines.
 LINES = 1 << 31
 
@@ -41,7 +43,11 @@ def line_chunks(docs: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """SNK-07, AGG-04: (chunk_id, term, tf)."""
+    """SNK-07, AGG-04: (chunk_id, term, tf).
+
+    Chunks are dealt out by id before they are cut, so that the text is shuffled once, not every term of it.
+    """
+    chunks = chunks.select("chunk_id", "content").repartition("chunk_id")
     return chunks.select("chunk_id", F.explode(T.tokens(F.col("content"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -229,8 +235,9 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     continue
                 x = b.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n)
                 length = np.sqrt((x * x).sum(1))
-                for a in range(0, len(q), 1024):
-                    part = q[a : a + 1024]
+                step = max(1, SCORES // len(at))
+                for a in range(0, len(q), step):
+                    part = q[a : a + step]
                     scale = length[:, None] * np.sqrt((part * part).sum(1))[None]
                     score = np.where(scale > 0, x @ part.T / np.where(scale > 0, scale, 1), 0.0)
                     # shifted above zero, as every row is a hit

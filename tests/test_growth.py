@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import compare
+from docloom.operators import compare, evaluate, retrieval
 
 
 def plan(df) -> str:
@@ -91,3 +91,31 @@ def test_jaccard_pairs_in_many_tasks(spark, monkeypatch):
         monkeypatch.setattr(compare, "CHUNK", chunk)
         assert sorted(map(tuple, compare.jaccard_pairs(df).collect())) == want
     assert compare.jaccard_pairs(df).rdd.getNumPartitions() > 8
+
+
+def test_postings_shuffle_text_not_terms(spark):
+    c = spark.createDataFrame([(1, "a b a"), (2, "b"), (1, "a c"), (3, None)], "chunk_id long, content string")
+    p = retrieval.postings(c)
+    made = plan(p)
+    assert made.count("Exchange hashpartitioning") == 1 and made.index("Exchange") > made.index("Generate")
+    assert sorted(map(tuple, p.collect())) == [(1, "a", 3), (1, "b", 1), (1, "c", 1), (2, "b", 1)]
+
+
+def test_label_metrics_equal_metrics_of_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([0, 0, 1, 2, None]), rng.choice([1, 2])) for i in range(60)] + [(99, 7, 1)]
+    r = spark.createDataFrame(rows, "chunk_id long, label int, grade int")
+    q = r.where("chunk_id % 3 = 0").select(F.col("chunk_id").alias("query_id"), "label")
+    h = spark.createDataFrame([(i, c, k + 1) for i in range(0, 100, 3) for k, c in enumerate(rng.sample([j for j in range(60) if j != i], 12))], "query_id long, chunk_id long, rank int")
+    truth = q.join(r, "label").where("query_id <> chunk_id").select("query_id", "chunk_id", "grade")
+    got = evaluate.label_metrics(h, q, r)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, evaluate.metrics(h, truth).collect()))
+
+
+def test_dense_in_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "chunk_id long, vec array<double>")
+    q = v.where("chunk_id < 20").toDF("query_id", "qvec")
+    want = sorted(map(tuple, retrieval.dense(v, q, 5).collect()))
+    monkeypatch.setattr(retrieval, "SCORES", 100)
+    assert sorted(map(tuple, retrieval.dense(v, q, 5).collect())) == want and len(want) == 100
