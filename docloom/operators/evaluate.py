@@ -21,7 +21,10 @@ def metrics(hits: DataFrame, truth: DataFrame, k: int = 10, by: tuple = ()) -> D
     w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "chunk_id")
     ideal = truth.withColumn("r", F.row_number().over(w)).groupBy("query_id").agg(F.count("*").alias("expected"), F.sum(F.when(F.col("r") <= k, (F.pow(F.lit(2.0), "grade") - 1) / F.log2(F.col("r") + 1))).alias("idcg"))
     base = ideal if not by else ideal.join(hits.select(*by).distinct())  # every query under every configuration asked for
-    out = base.join(per, keys, "left")
+    return _metrics(base.join(per, keys, "left"), keys, k)
+
+
+def _metrics(out: DataFrame, keys: list, k: int) -> DataFrame:
     z = lambda c: F.coalesce(c, F.lit(0.0))
     return out.select(
         *keys,
@@ -33,6 +36,28 @@ def metrics(hits: DataFrame, truth: DataFrame, k: int = 10, by: tuple = ()) -> D
     )
 
 
+def label_metrics(hits: DataFrame, queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
+    """metrics() where a query's truth is every other row of its label: queries(query_id, label), rows(chunk_id, label, grade).
+
+    The pairs of queries and rows, quadratic in the input, are never made: the ideal needs a label's count of each
+    grade, less the query's own row, and the hits are looked up by their id. Ids are unique.
+    """
+    gain = lambda g: F.pow(F.lit(2.0), g) - 1
+    rows = rows.where("label is not null")
+    queries = queries.where("query_id is not null and label is not null")
+    of = rows.groupBy("label").agg(F.count("*").alias("all")).join(rows.groupBy("label", "grade").agg(F.count("*").alias("m")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("grade", "m")), asc=False).alias("grades")), "label")
+    own = rows.select(F.col("chunk_id").alias("query_id"), F.col("grade").alias("own"), F.col("label").alias("own_label"))
+    asked = queries.join(own, "query_id", "left").withColumn("own", F.when(F.col("own_label") == F.col("label"), F.col("own"))).join(of, "label")
+    asked = asked.withColumn("expected", F.col("all") - F.col("own").isNotNull().cast("bigint")).where("expected > 0")
+    # the grades of the best k, best first
+    best = F.slice(F.flatten(F.transform("grades", lambda g: F.array_repeat(g["grade"], F.least(F.lit(k), g["m"] - F.when(g["grade"] == F.col("own"), 1).otherwise(0)).cast("int")))), 1, k)
+    idcg = F.aggregate(F.transform(best, lambda g, i: gain(g) / F.log2(i + 2)), F.lit(0.0), lambda s, x: s + x)
+    ideal = asked.select("query_id", "label", "expected", idcg.alias("idcg"))
+    found = hits.where(F.col("rank") <= k).join(ideal.select("query_id", "label"), "query_id").where("query_id <> chunk_id").join(rows, ["chunk_id", "label"])
+    per = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.sum(gain(F.col("grade")) / F.log2(F.col("rank") + 1)).alias("dcg"))
+    return _metrics(ideal.join(per, "query_id", "left"), ["query_id"], k)
+
+
 NAMES = ("recall", "precision", "hit", "mrr", "ndcg")
 
 
